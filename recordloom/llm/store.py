@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +65,22 @@ def bitmap(df: DataFrame, column: str, log2_bits: int = 23) -> np.ndarray:
     out = np.zeros(1 << (log2_bits - 6), np.uint64)
     out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return out
+
+
+def with_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id", log2_bits: int = 23) -> DataFrame:
+    """The rows of df whose id is in ids (a column of the same name), and perhaps a few more.
+
+    ids becomes a bitmap of fixed size, so that the wide rows of df need not be shuffled to be screened;
+    an exact join must follow. Rows without an id go.
+    """
+    from .textkit import in_bitmap
+
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(ids.select(column).where(F.col(column).isNotNull()), column, log2_bits))
+
+    def run(batches):
+        for b in batches:
+            there = b.column(column).is_valid().to_numpy(zero_copy_only=False)
+            hit = in_bitmap(shared.value, b.column(column).fill_null(0).to_numpy())
+            yield b.filter(pa.array(hit & there))
+
+    return df.mapInArrow(run, df.schema)
