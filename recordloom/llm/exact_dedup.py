@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep, lower_az
+from .store import keep, lower_az, with_ids
 
 _U = np.uint64
 SHARD_KEYS = 1 << 17
@@ -145,12 +145,10 @@ def exact_dedup(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
         .join(buckets.select("sha", F.col("last").alias("old_id")), "sha"),
         "positives",
     )
-    texts = snapshot.select("doc_id", lower_az(F.col("text")).alias("t")).unionByName(
-        incoming.select("doc_id", lower_az(F.col("text")).alias("t"))
-    )
     wanted = met.select("sha", F.explode(F.array("new_id", "old_id")).alias("doc_id"))
+    texts = with_ids(snapshot.select("doc_id", "text").unionByName(incoming.select("doc_id", "text")), wanted)
     same = (
-        texts.join(wanted, "doc_id").where(F.sha2("t", 256) == F.col("sha"))
+        texts.select("doc_id", lower_az(F.col("text")).alias("t")).join(wanted, "doc_id").where(F.sha2("t", 256) == F.col("sha"))
         .groupBy("sha").agg((F.min("t") == F.max("t")).alias("same")).where("same").select("sha", F.lit(True).alias("joined"))
     )
     sides = buckets.select("sha", "last", "n", F.lit(False).alias("incoming")).unionByName(
