@@ -8,8 +8,10 @@ on which two regex engines may differ, is encoded whole by the library.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(r"[\t-\r -~À-ÿ]*\Z")
@@ -21,19 +23,19 @@ _LONG = 1 << 20
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian uint32 bytes.
 
-    cache_size bounds the remembered pieces; when it is full, the memory is emptied.
+    Pieces are remembered in two generations of at most cache_size each (some 100 MB together): a full
+    generation replaces the older one, and a piece met again moves to the newer.
     """
 
-    def __init__(self, path: str, cache_size: int = 300_000) -> None:
+    def __init__(self, path: str, cache_size: int = 350_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_size = cache_size
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        import json
-
         spec = json.loads(self.tokenizer.to_str())
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.by_piece = (
@@ -47,9 +49,20 @@ class Encoder:
 
     @staticmethod
     def _pack(encoding) -> bytes:
-        import numpy as np
-
-        return np.array(encoding.ids, "<u4").tobytes()
+        return array("I", encoding.ids).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Make all the pieces known."""
+        if len(self.known) > self.cache_size:
+            self.older, self.known = self.known, {}
+        new = []
+        for p in set(pieces).difference(self.known):
+            have = self.older.get(p)
+            if have is None:
+                new.append(p)
+            else:
+                self.known[p] = have
+        self.known.update(zip(new, map(self._pack, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
 
     def _pieces(self, text: str) -> list[str]:
         out: list[str] = []
@@ -64,22 +77,16 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        known = self.known
         for text in texts:
             if not text:
                 out.append(b"")
             elif self.by_piece and _PLAIN.match(text) and not any(s in text for s in self.special):
                 pieces = self._pieces(text)
                 try:
-                    out.append(b"".join(map(known.__getitem__, pieces)))
+                    out.append(b"".join(map(self.known.__getitem__, pieces)))
                 except KeyError:
-                    new = [p for p in set(pieces) if p not in known]
-                    if len(known) + len(new) > self.cache_size:
-                        known.clear()
-                        new = list(set(pieces))
-                    for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        known[p] = self._pack(e)
-                    out.append(b"".join(map(known.__getitem__, pieces)))
+                    self._learn(pieces)
+                    out.append(b"".join(map(self.known.__getitem__, pieces)))
             else:
                 out.append(self._pack(self.tokenizer.encode(text, add_special_tokens=False)))
         return out
