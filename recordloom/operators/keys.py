@@ -89,7 +89,7 @@ def key_candidates(e1: DataFrame, e2: DataFrame, k: int = 30, max_df: int = 40,
     rare = key_frequency(keys2, n2, max_df).select("country", "key", "w")
     index = keys2.join(rare, ["country", "key"]).select("country", "key", F.col("id").alias("id2"), "w")
     met = key_rows(e1, with_locality).select("country", "key", F.col("id").alias("id1")).join(index, ["country", "key"])
-    score = met.groupBy("country", "id1", "id2").agg(F.sum("w").alias("sim"))
+    score = met.groupBy("country", "id1", "id2").agg(F.round(F.sum("w"), 9).alias("sim"))
     return top_ranked(score, "id1", "id2", k)
 
 
