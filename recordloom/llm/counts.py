@@ -64,3 +64,41 @@ def find(ids: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
     x = column.fill_null(0).to_numpy()
     at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
     return np.where((ids[at] == x) & there, at, -1)
+
+
+def top_k(df: DataFrame, k: int, score: str, tie: str):
+    """A condition true for the k rows of largest score (bigint), ties by smallest tie (bigint).
+
+    Finds the cut by counting rows in ever narrower ranges, so no row is sorted or gathered. Differences of
+    values must fit a bigint. Rows equal in both come in together; null scores or ties never come in.
+    """
+
+    def cut(rows: DataFrame, column: str, k: int) -> tuple[int, int] | None:
+        """(value v, rows above v) such that the rows above v number k at most, those from v on k at least."""
+        ends = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+        if ends["lo"] is None:
+            return None
+        lo, hi, above = ends["lo"], ends["hi"], 0
+        while True:
+            width = max(1, -(-(hi - lo + 1) // 1024))
+            seen = (
+                rows.where(F.col(column).between(lo, hi)).groupBy(F.floor((F.col(column) - lo) / width).cast("int").alias("bin"))
+                .agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("bin")).collect()
+            )  # 1024 rows at most
+            last = seen[-1]["bin"]
+            for r in seen:
+                if above + r["m"] >= k or r["bin"] == last:
+                    break
+                above += r["m"]
+            lo, hi = lo + r["bin"] * width, min(hi, lo + (r["bin"] + 1) * width - 1)
+            if lo == hi:
+                return lo, above
+
+    rows = df.where(F.col(score).isNotNull() & F.col(tie).isNotNull())
+    found = cut(rows, score, k) if k > 0 else None
+    if found is None:
+        return F.lit(False)
+    value, above = found
+    level = rows.where(F.col(score) == value).withColumn("_t", -F.col(tie))
+    last = cut(level, "_t", k - above)
+    return F.coalesce((F.col(score) > value) | ((F.col(score) == value) & (-F.col(tie) >= last[0])), F.lit(False))

@@ -58,7 +58,7 @@ def _texts(batch: pa.RecordBatch, most: int = 1 << 20):
             at, end = int(off[lo]), int(off[hi])
             while at < end:
                 stop = min(at + most, end)
-                piece = np.concatenate([[np.uint8(32)] * (at == off[lo]), raw[at : min(stop + WIDTH - 1, end)], [np.uint8(32)] * (stop == end)]).astype(np.uint8)
+                piece = np.concatenate([[32] * int(at == off[lo]), raw[at : min(stop + WIDTH - 1, end)], [32] * int(stop == end)]).astype(np.uint8)
                 grams = _grams(piece)
                 yield lo, hi, grams, np.zeros(len(grams), np.int64)
                 at = stop
@@ -163,13 +163,14 @@ def _predict(shared):
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs but text, with lang_pred and score.
+    """All columns of docs but text, with lang_pred and score (which replace columns of these names).
 
     lang_pred is the language whose filter holds the largest share of the text's n-grams, corrected by the
     filter's false-positive rate (fill ** HASHES); `und` with score 0 where the text is null or has no letter.
     score, 0 to 1: that share against it and the runner-up's together. Ties go to the first name. A table
     without rows gives none; without learned languages all is `und`. Whole texts are read, in pieces.
     """
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return docs.mapInArrow(_predict(shared), f"{kinds}, lang_pred string, score double")
