@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import forget, keep
+from .counts import top_k
+from .store import keep
 from .textkit import groups, mix
 
 DEPTH = 3
@@ -27,8 +28,8 @@ LEAST = 3
 """A context seen less often is never kept."""
 HOT = 1 << 18
 """Words whose counts every task has at hand (4 MB); counts of other words are joined."""
-STATES = 1 << 21
-"""Most (context, next word) pairs of the tree that is broadcast (48 MB); contexts of largest gain stay."""
+STATES = 1 << 19
+"""Most (context, next word) pairs of the tree that is broadcast (12 MB); contexts of largest gain stay."""
 BUCKET = 1 << 21
 """Mean number of places counted in one task when contexts are merged."""
 
@@ -226,15 +227,14 @@ def _choose(shared, buckets: int):
 
 
 class Tree:
-    """The states to look up: log10(P / P0) of each seen next word, and of any other word."""
+    """The states to look up: log10(P / P0) of each seen next word (ratio), and of any other word (other)."""
 
-    def __init__(self, ctx: np.ndarray, w: np.ndarray, c: np.ndarray, n: np.ndarray, p0: np.ndarray) -> None:
+    def __init__(self, ctx: np.ndarray, w: np.ndarray, ratio: np.ndarray, other: np.ndarray) -> None:
         self.states, first = np.unique(ctx, return_index=True)
-        self.other = np.log10(BETA / (n[first] + BETA)).astype(np.float32)
+        self.other = other[first]
         pair = mix(ctx + w * _U(0x9E3779B97F4A7C15))
         order = np.argsort(pair)
-        self.pairs = pair[order]
-        self.ratio = np.log10((c + BETA * p0) / ((n + BETA) * p0))[order].astype(np.float32)
+        self.pairs, self.ratio = pair[order], ratio[order]
         self.screen = np.zeros(1 << 18, _U)  # 2 MB, one bit for each state
         bit = self.states >> _U(40)
         np.bitwise_or.at(self.screen, (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
@@ -278,7 +278,7 @@ def _score(hot_shared, tree_shared):
                 row += hi - lo
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), b.column("doc_id").slice(lo, hi - lo), b.column("held_out").slice(lo, hi - lo), pa.array(np.diff(bounds).astype(np.int64)),
-                     pa.array(n_hot.astype(np.int64)), pa.array(base), pa.array(extra), lists],
+                     pa.array(n_hot.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(extra.astype(np.float64)), lists],
                     ["row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "extra", "tail"],
                 )
 
@@ -301,8 +301,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     words = keep(train.mapInArrow(_count_words, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")), "words")
     stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, kinds = int(stats["n"]), int(stats["v"])
-    top = words.orderBy(F.desc("c"), "w").limit(HOT).toPandas()
-    hot = Hot(top["w"].to_numpy(np.int64).view(_U), top["c"].to_numpy(np.int64), tokens, kinds)
+    ranked = words.withColumn("tie", F.shiftright("w", 2))
+    top = ranked.where(top_k(ranked, HOT, "c", "tie")).select("w", "c").toArrow()  # HOT rows
+    hot = Hot(top["w"].to_numpy().view(_U), top["c"].to_numpy(), tokens, kinds)
     hot_shared = sc.broadcast(hot)
 
     buckets = max(8, tokens // BUCKET)
@@ -318,12 +319,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 break
             cut = r["level"]
         chosen = chosen.where(F.floor(F.log("gain") * 64) >= F.lit(cut)) if cut is not None else chosen.limit(0)
-    with_counts = chosen.join(words.withColumnRenamed("c", "total"), "w").select("ctx", "w", "c", "n", "total").toPandas()
-    tree = Tree(
-        with_counts["ctx"].to_numpy(np.int64).view(_U), with_counts["w"].to_numpy(np.int64).view(_U), with_counts["c"].to_numpy(np.float64),
-        with_counts["n"].to_numpy(np.float64), (with_counts["total"].to_numpy(np.float64) + 1) / (tokens + kinds + 1),
-    )
-    del with_counts
+    p0 = (F.col("total") + 1) / F.lit(float(tokens + kinds + 1))
+    states = chosen.join(words.withColumnRenamed("c", "total"), "w").select(
+        "ctx", "w", F.log10((F.col("c") + BETA * p0) / ((F.col("n") + BETA) * p0)).cast("float").alias("ratio"), F.log10(BETA / (F.col("n") + BETA)).cast("float").alias("other")
+    ).toArrow()  # STATES rows of 24 bytes
+    tree = Tree(states["ctx"].to_numpy().view(_U), states["w"].to_numpy().view(_U), states["ratio"].to_numpy(), states["other"].to_numpy())
+    del states
     tree_shared = sc.broadcast(tree)
 
     scored = keep(
