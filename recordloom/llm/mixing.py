@@ -9,70 +9,138 @@ from pyspark.sql import functions as F
 
 from .counts import find, fixed_counts, labelled_sample
 from .store import keep
-from .textkit import groups
+from .textkit import groups, mix
 
 SIZE = 1 << 18
 LABELLED = 1 << 17
 """Most labelled documents that the domain classifier is fitted on."""
-SMOOTH = 0.1
+BEGINNINGS = (4, 6, 8)
+"""Bytes of word beginnings that are features beside the words."""
+CLEAR, LEAST, SHRINK = 5.0, 8, 10.0
 RIDGE = 0.01
 """Weight of staying at rate 1 against meeting the targets."""
 ROUNDS = 60
 _U = np.uint64
 
 
-def _word_counts(shared, many: int):
+def _features(b: pa.RecordBatch):
+    """(row, buckets of the distinct words and word beginnings) of each text."""
+    for lo, _, h, bounds in groups(b.column("text"), BEGINNINGS):
+        at = (h & _U(SIZE - 1)).astype(np.int64)
+        for i in range(len(bounds) - 1):
+            if bounds[i + 1] > bounds[i]:
+                yield lo + i, int(bounds[i + 1] - bounds[i]), np.unique(at[bounds[i] : bounds[i + 1]])
+
+
+def _feature_counts(shared, many: int):
     def count(b: pa.RecordBatch, total: np.ndarray) -> None:
         ids, domains = shared.value
         place = find(ids, b)
-        domain = np.where(place >= 0, domains[np.maximum(place, 0)] if len(domains) else 0, -1)
+        rows = np.flatnonzero(place >= 0)
+        if not len(rows):
+            return
+        own = domains[place[rows]]
         table, docs_of = total[: many * SIZE].reshape(many, SIZE), total[many * SIZE : many * SIZE + many]
-        docs_of += np.bincount(domain[domain >= 0], minlength=many)
-        for lo, hi, h, bounds in groups(b.column("text")):
-            own = domain[lo:hi]
-            owner = np.repeat(own, np.diff(bounds))
-            for d in np.unique(own[own >= 0]):
-                table[d] += np.bincount((h[owner == d] & _U(SIZE - 1)).astype(np.int64), minlength=SIZE)
+        docs_of += np.bincount(own, minlength=many)
+        for row, _, at in _features(b.take(pa.array(rows))):
+            table[own[row]][at] += 1
 
     return count
 
 
-def _posteriors(shared, names: list[str]):
+def _evidence_sums(shared, many: int):
     def run(batches):
-        logs, prior = shared.value
+        logs = shared.value
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
-            z = np.zeros((b.num_rows, len(names)))
-            for lo, hi, h, bounds in groups(b.column("text")):
-                size = np.diff(bounds)
-                n[lo:hi] = size
-                owner, at = np.repeat(np.arange(hi - lo), size), (h & _U(SIZE - 1)).astype(np.int64)
-                for d in range(len(names)):
-                    z[lo:hi, d] = np.bincount(owner, weights=logs[d, at], minlength=hi - lo)
-            # words are not independent evidence: soften the sum by the root of their number
-            z = z / (1 + np.sqrt(n) / 4)[:, None] + prior
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, len(names)).astype(np.int32)), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), lists], ["doc_id", "n_tokens", "posterior"])
+            z = np.zeros((b.num_rows, many))
+            for row, size, at in _features(b):
+                n[row] = size
+                z[row] = logs[:, at].sum(axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, many).astype(np.int32)), pa.array(z.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), lists], ["doc_id", "n_tokens", "z"])
+
+    return run
+
+
+def _inputs(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What the calibration sees of a text: its evidence sums, plain and against its length, and a constant."""
+    return np.concatenate([np.sign(z) * np.log1p(np.abs(z)), z / np.sqrt(np.maximum(n, 1))[:, None], np.ones((len(z), 1))], axis=1)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, many: int, rounds: int = 400) -> np.ndarray:
+    """Weights of a softmax regression of y on x (inputs of _inputs), by gradient steps with momentum and a small ridge."""
+    scale = np.maximum(np.abs(x).max(axis=0), 1e-9) / 4
+    u, want = x / scale, np.eye(many)[y]
+    w = v = np.zeros((x.shape[1], many))
+    step = 1.0 / max(0.25 * (u * u).sum(axis=1).mean(), 1e-9)
+    for _ in range(rounds):
+        v = 0.9 * v - step * (u.T @ (_softmax(u @ w) - want) / len(u) + 1e-5 * w)
+        w = w + v
+    return w / scale[:, None]
+
+
+def _posteriors(shared, many: int):
+    def run(batches):
+        weights = shared.value
+        for b in batches:
+            z = b.column("z").flatten().to_numpy().reshape(-1, many)
+            p = _softmax(_inputs(z, b.column("n_tokens").to_numpy()) @ weights)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, many).astype(np.int32)), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), lists], ["doc_id", "n_tokens", "posterior"])
 
     return run
 
 
+def evidence(table: np.ndarray, docs_of: np.ndarray) -> np.ndarray:
+    """Log of how much likelier each feature is in each domain than in all, for features that clearly differ.
+
+    table: documents with the feature by domain. A feature speaks for or against a domain only where its count
+    there is off by more than CLEAR standard deviations (and at least LEAST documents have it), so that chance
+    and single documents say nothing; counts are shrunk to the domain's share by SHRINK documents.
+    """
+    total = table.sum(axis=0)
+    share = (docs_of / max(1, docs_of.sum()))[:, None]
+    expected = total * share
+    off = (table - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9))
+    clear = (np.abs(off) > CLEAR) & (np.maximum(table, expected) >= LEAST)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.log((table + SHRINK * share) / ((total + SHRINK) * share))
+    return np.where(clear & (share > 0), ratio, 0.0)
+
+
 def domain_posteriors(docs: DataFrame, ids: np.ndarray, domains: np.ndarray, names: list[str]) -> DataFrame:
-    """doc_id, n_tokens (words), posterior over names, of every row: naive Bayes on hashed words.
+    """doc_id, n_tokens (words), posterior over names, of every row.
 
-    ids, domains: sorted labelled doc_ids and the place of their domain in names. Null and wordless texts get
-    the prior; without labels all domains are alike.
+    ids, domains: sorted labelled doc_ids and the place of their domain in names. Evidence of hashed words and
+    word beginnings is counted on two thirds of them; on the last third a softmax regression turns a text's
+    evidence into posteriors. Without labels all domains are alike. Null and wordless texts have no evidence.
     """
     sc, many = docs.sparkSession.sparkContext, len(names)
-    docs = docs.select("doc_id", "text")
-    total = fixed_counts(docs, many * SIZE + -(-many // 16) * 16, _word_counts(sc.broadcast((ids, domains.astype(np.int64))), many))
-    table = total[: many * SIZE].reshape(many, SIZE)
-    seen = total[many * SIZE : many * SIZE + many]
-    logs = np.log((table + SMOOTH) / (table.sum(axis=1, keepdims=True) + SMOOTH * SIZE))
-    prior = np.log((seen + 1.0) / (seen.sum() + many))
-    return docs.mapInArrow(_posteriors(sc.broadcast((logs.astype(np.float32), prior)), names), "doc_id bigint, n_tokens bigint, posterior array<double>")
+    docs, domains = docs.select("doc_id", "text"), domains.astype(np.int64)
+    last = mix(ids.astype(np.uint64)) % _U(3) == 0
+    total = fixed_counts(docs, many * SIZE + -(-many // 16) * 16, _feature_counts(sc.broadcast((ids[~last], domains[~last])), many))
+    logs = evidence(total[: many * SIZE].reshape(many, SIZE), total[many * SIZE : many * SIZE + many])
+    sums = keep(docs.mapInArrow(_evidence_sums(sc.broadcast(logs.astype(np.float32)), many), "doc_id bigint, n_tokens bigint, z array<double>"), "evidence")
+    held = sc.broadcast(ids[last])
+
+    def labelled(batches):
+        for b in batches:
+            yield b.filter(pa.array(find(held.value, b) >= 0))
+
+    rows = sums.mapInArrow(labelled, sums.schema).toArrow()  # a third of the labelled sample, LABELLED / 3 rows at most
+    weights = np.zeros((2 * many + 1, many))
+    if rows.num_rows:
+        rows = rows.combine_chunks()
+        z = rows["z"].combine_chunks().flatten().to_numpy().reshape(-1, many)
+        y = domains[last][np.searchsorted(ids[last], rows["doc_id"].to_numpy())]
+        weights = calibrate(_inputs(z, rows["n_tokens"].to_numpy()), y, many)
+    return sums.mapInArrow(_posteriors(sc.broadcast(weights), many), "doc_id bigint, n_tokens bigint, posterior array<double>")
 
 
 def _rates(w_p: np.ndarray, steps: list[np.ndarray], eta: float) -> np.ndarray:
@@ -141,8 +209,8 @@ def mix_rates(member: DataFrame, targets: np.ndarray) -> DataFrame:
 
 
 NAMES = ["plain", "plain_toxic", "fine", "fine_toxic"]
-WEIGHTS = {"plain": 1.0, "plain_toxic": 0.0, "fine": 1.2, "fine_toxic": 0.0}
-"""Target tokens of each labelled domain as a multiple of what the documents hold: no toxic text, more fine text."""
+WEIGHTS = {"plain": 1.1, "plain_toxic": 0.0, "fine": 1.2, "fine_toxic": 0.0}
+"""Target tokens of each labelled domain as a multiple of what the documents hold: no toxic text, more of the rest."""
 
 
 def _members(spark, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, np.ndarray]:

@@ -383,12 +383,12 @@ def test_mixing_meets_its_targets(spark):
 
 def test_posteriors(spark):
     rnd = random.Random(6)
-    own = [[f"{'abcd'[d]}{i}" for i in range(40)] for d in range(4)]
-    rows = [(i, " ".join(rnd.choice(own[i % 4]) for _ in range(30))) for i in range(80)]
-    docs = spark.createDataFrame([*rows, (100, None)], "doc_id bigint, text string")
-    got = {r["doc_id"]: r for r in mixing.domain_posteriors(docs, np.arange(40), np.arange(40) % 4, list("abcd")).collect()}
+    own, shared = [[f"{'abcd'[d]}{i}" for i in range(15)] for d in range(4)], [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(rnd.choice(own[i % 4] if k % 3 else shared) for k in range(30))) for i in range(800)]
+    docs = spark.createDataFrame([*rows, (1000, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in mixing.domain_posteriors(docs, np.arange(600), np.arange(600) % 4, list("abcd")).collect()}
     assert all(np.argmax(got[i]["posterior"]) == i % 4 for i, _ in rows)
-    assert np.allclose(got[100]["posterior"], 0.25) and got[100]["n_tokens"] == 0
+    assert max(got[1000]["posterior"]) < 0.5 and got[1000]["n_tokens"] == 0
 
 
 def test_fuzzy_lines(spark):
