@@ -12,7 +12,13 @@ from .store import keep
 from .textkit import groups, mix
 
 SIZE = 1 << 18
-"""Hash buckets of words and word pairs."""
+"""Hash buckets of words, word beginnings and word pairs."""
+BEGINNING = 6
+"""Bytes of a word that are an n-gram of their own."""
+CLEAR, LEAST = 5.0, 20.0
+"""Standard deviations of a count (of at least LEAST) within which the two models do not differ."""
+SHRINK = 20.0
+"""Occurrences of the raw model that smooth each n-gram of the target model."""
 LABELLED = 1 << 17
 """Most labelled documents that the target model is fitted on."""
 SHARE = 0.75
@@ -23,17 +29,18 @@ _U = np.uint64
 
 
 def _grams(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of words and of pairs of neighbours, owner text of each)."""
+    """(buckets of words, word beginnings and pairs of neighbours; owner text of each). h: words and beginnings."""
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     pair = np.flatnonzero(owner[1:] == owner[:-1])
-    two = mix(h[pair] * _U(3) + h[pair + 1])
-    return (np.concatenate([h, two]) & _U(SIZE - 1)).astype(np.int64), np.concatenate([owner, owner[pair]])
+    two = mix(h[pair, 0] * _U(3) + h[pair + 1, 0])
+    start = mix(h[:, 1] + _U(7))
+    return (np.concatenate([h[:, 0], start, two]) & _U(SIZE - 1)).astype(np.int64), np.concatenate([owner, owner, owner[pair]])
 
 
 def _models(shared):
     def count(b: pa.RecordBatch, total: np.ndarray) -> None:
         target = find(shared.value, b) >= 0
-        for lo, hi, h, bounds in groups(b.column("text")):
+        for lo, hi, h, bounds in groups(b.column("text"), (BEGINNING,)):
             at, owner = _grams(h, bounds)
             total[:SIZE] += np.bincount(at, minlength=SIZE)
             total[SIZE:] += np.bincount(at[target[lo:hi][owner]], minlength=SIZE)
@@ -46,7 +53,7 @@ def _weigh(shared, drift: float):
         ratio = shared.value
         for b in batches:
             n, weight = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for lo, hi, h, bounds in groups(b.column("text")):
+            for lo, hi, h, bounds in groups(b.column("text"), (BEGINNING,)):
                 at, owner = _grams(h, bounds)
                 n[lo:hi] += np.bincount(owner, minlength=hi - lo)
                 weight[lo:hi] += np.bincount(owner, weights=ratio[at], minlength=hi - lo)
@@ -59,8 +66,9 @@ def _weigh(shared, drift: float):
 def resample(docs: DataFrame, target_ids: np.ndarray, share: float = SHARE) -> DataFrame:
     """docs (doc_id bigint, text) -> doc_id, n_grams, log_weight, score, kept; one row per row.
 
-    log_weight: log p_target - log p_raw of the text's hashed words and word pairs (add-one models; raw
-    counts all rows, target the rows whose doc_id is in target_ids). Long texts of any kind drift with their
+    log_weight: log p_target - log p_raw of the text's hashed words, word beginnings and word pairs (raw counts
+    all rows; target the rows whose doc_id is in target_ids, smoothed to raw, and equal to it where
+    the counts do not clearly differ). Long texts of any kind drift with their
     length, so score corrects it: (log_weight - drift * n) / sqrt(n), drift being the target's mean
     ratio. The sample without replacement takes the round(share * rows) largest SHARPNESS * score +
     Gumbel(doc_id); ties by doc_id. Null and wordless texts have weight 0 and score 0. A null doc_id is
@@ -69,9 +77,12 @@ def resample(docs: DataFrame, target_ids: np.ndarray, share: float = SHARE) -> D
     sc = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
     total = fixed_counts(docs, 2 * SIZE, _models(sc.broadcast(target_ids)))
-    raw, target = total[:SIZE] + 1.0, total[SIZE:] + 1.0
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    drift = float((target - 1) @ ratio / max(1.0, float((target - 1).sum())))
+    raw, target = total[:SIZE].astype(float), total[SIZE:].astype(float)
+    part = max(target.sum(), 1.0) / max(raw.sum(), 1.0)
+    ratio = np.log((target + SHRINK * part) / ((raw + SHRINK) * part))  # p_target / p_raw, target smoothed to raw
+    # n-grams whose counts chance explains tell a labelled text from another, not a good one from a bad one
+    ratio[np.abs(target - part * raw) <= CLEAR * np.sqrt(np.maximum(raw, LEAST) * part * max(1 - part, 1e-9))] = 0.0
+    drift = float(target @ ratio / max(1.0, target.sum()))
     weights = docs.mapInArrow(_weigh(sc.broadcast(ratio.astype(np.float32)), drift), "doc_id bigint, n_grams bigint, log_weight double, corrected double")
     # uniform in (0, 1) from 52 bits of a hash
     u = (F.xxhash64("doc_id", F.lit("gumbel")).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
