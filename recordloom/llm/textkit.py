@@ -6,6 +6,7 @@ occur only as the characters themselves. A word's identity is a 64-bit hash of i
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,22 @@ PIECE = 1 << 20
 """Bytes handled at once; a longer text is handled in pieces that end between words."""
 
 _U = np.uint64
+
+
+def _lean() -> None:
+    """Give freed memory back at once: workers live long, and large arrays come and go with each batch."""
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_lean()
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -47,10 +64,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
-def _words_of(buf: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the bytes and each word's first byte; begins: where texts begin in buf."""
+def _words_of(buf: np.ndarray, begins: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the bytes and each word's first byte; begins: where texts begin in buf.
+
+    With prefixes, a row for each word: its hash and those of its first so many bytes (of all, if it has fewer).
+    """
     if not len(buf):
-        return np.zeros(0, _U), np.zeros(0, np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, _U), np.zeros(0, np.int64)
     solid = ~_SPACE[buf]
     edge = np.empty(len(buf) + 1, bool)
     edge[0] = True
@@ -65,12 +85,19 @@ def _words_of(buf: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
     total = np.empty(len(buf) + 1, _U)
     total[0] = 0
     np.cumsum(_BYTE[_LOWER[buf]] * up, out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(_U) * _U(0x9E3779B97F4A7C15)), starts
+
+    def upto(ends: np.ndarray) -> np.ndarray:
+        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0x9E3779B97F4A7C15))
+
+    if prefixes:
+        return np.stack([upto(ends), *(upto(np.minimum(starts + n, ends)) for n in prefixes)], axis=1), starts
+    return upto(ends), starts
 
 
 def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes and the offsets of a string array; null counts as empty."""
+    if tokens := sys.modules.get("recordloom.llm.tokens"):
+        tokens.release()  # a worker that hashes words now is done with encoding
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string())
@@ -82,10 +109,10 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def groups(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first text, end text, word hashes, bounds): runs of texts of about PIECE bytes.
 
-    The words of text first + i are hashes[bounds[i]:bounds[i + 1]].
+    The words of text first + i are hashes[bounds[i]:bounds[i + 1]]; with prefixes, each has a row (see _words_of).
     """
     raw, off = _buffers(texts)
     lo, n = 0, len(off) - 1
@@ -95,7 +122,7 @@ def groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         if off[hi] - off[lo] <= PIECE:
             buf = raw[off[lo] : off[hi]]
             begins = (off[lo : hi + 1] - off[lo]).astype(np.int64)
-            hashes, starts = _words_of(buf, begins)
+            hashes, starts = _words_of(buf, begins, prefixes)
             yield lo, hi, hashes, np.searchsorted(starts, begins)
         else:
             parts, at, end = [], int(off[lo]), int(off[hi])
@@ -104,7 +131,7 @@ def groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
                 while cut < end and not _SPACE[raw[cut]]:
                     after = np.flatnonzero(_SPACE[raw[cut : cut + PIECE]])
                     cut = cut + int(after[0]) if len(after) else min(cut + PIECE, end)
-                parts.append(_words_of(raw[at:cut], np.zeros(1, np.int64))[0])
+                parts.append(_words_of(raw[at:cut], np.zeros(1, np.int64), prefixes)[0])
                 at = cut
             hashes = np.concatenate(parts)
             yield lo, hi, hashes, np.array([0, len(hashes)])

@@ -100,3 +100,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def release() -> None:
+    """Forget this worker's encoders and the pieces they hold."""
+    _encoders.clear()
