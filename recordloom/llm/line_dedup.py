@@ -20,14 +20,14 @@ WIDTH = 9
 PERCENT = 75
 DEPTH = 12
 BAND = 3
-ANCHORS = "[en]"
+ANCHORS = "[e]"
 FEW = 6
 """With fewer anchored shingles, a line's signature takes all of its shingles."""
 BITS = 23
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(line))
+    return F.lower(F.btrim(line, F.lit(" \t\r\v\f")))
 
 
 def shingles(line: Column) -> Column:
@@ -36,51 +36,67 @@ def shingles(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line (normalised), id (digest) of every line; blank lines have no id."""
+    """doc_id, line_no (from 0), line (normalised) of every line."""
     rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "line_no", normal(F.col("raw")).alias("line"))
-    return rows.withColumn("id", F.when(F.col("line") != "", F.unhex(F.md5("line"))))
+    return rows.select("doc_id", "line_no", normal(F.col("raw")).alias("line"))
+
+
+def digest(line: Column) -> Column:
+    """The identity of a line; none for a blank one."""
+    return F.when(line != "", F.unhex(F.md5(line)))
 
 
 def bands(lines: DataFrame) -> DataFrame:
-    """id, keys: the band keys of every line with an id."""
-    some = lines.where("id is not null").select("id", "line", F.regexp_extract_all("line", F.lit(f"(?=({ANCHORS}.{{{WIDTH - 1}}}))"), F.lit(1)).alias("anchored"))
-    chosen = some.select("id", F.when(F.size("anchored") >= FEW, F.col("anchored")).otherwise(shingles(F.col("line"))).alias("sh"))
-    signed = chosen.select("id", F.slice(F.array_sort(F.array_distinct(F.transform("sh", lambda x: F.xxhash64(x)))), 1, DEPTH).alias("sig"))
+    """doc_id, line_no, id, keys: identity and band keys of every line; none for a blank one."""
+    place = ["doc_id", "line_no", "id"]
+    some = lines.select("doc_id", "line_no", digest(F.col("line")).alias("id"), "line", F.regexp_extract_all("line", F.lit(f"(?=({ANCHORS}.{{{WIDTH - 1}}}))"), F.lit(1)).alias("anchored"))
+    chosen = some.select(*place, F.when(F.size("anchored") >= FEW, F.col("anchored")).otherwise(shingles(F.col("line"))).alias("sh"))
+    signed = chosen.select(*place, F.slice(F.array_sort(F.array_distinct(F.transform("sh", lambda x: F.xxhash64(x)))), 1, DEPTH).alias("sig"))
     key = lambda i: F.xxhash64(*[F.get("sig", i + k) for k in range(BAND)])
-    return signed.select("id", F.transform(F.sequence(F.lit(0), F.greatest(F.size("sig") - BAND, F.lit(0))), key).alias("keys"))
+    keys = F.transform(F.sequence(F.lit(0), F.greatest(F.size("sig") - BAND, F.lit(0))), key)
+    return signed.select(*place, F.when(F.col("id").isNotNull(), keys).alias("keys"))
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """One row for each different line of bands(): uid (a number of the stored table), id, doc_id and line_no of its first place, keys."""
+    once = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("keys").alias("keys"))
+    return once.select("id", "first.doc_id", "first.line_no", "keys", F.monotonically_increasing_id().alias("uid"))
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """a, b: digests of different lines that are neighbours in a band, each band in an order of its own.
+def candidates(classes: DataFrame) -> DataFrame:
+    """a, b: uids of different lines that are neighbours in a band, in one of four random orders.
 
-    A line meets one neighbour in each of its bands, so a group of n lines makes about n * (DEPTH - BAND)
+    A line meets one neighbour in each band (often the same), so n lines make at most n * (DEPTH - BAND + 1)
     pairs and not n squared.
     """
-    once = bands(lines).groupBy("id").agg(F.first("keys").alias("keys"))
-    posted = once.select("id", F.explode("keys").alias("key"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("id", "key"), "id")
-    met = posted.select("id", F.lag("id").over(order).alias("other")).where("other is not null and other <> id")
-    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-
-
-def _wanted(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of df (id binary) whose id may be among ids: a bitmap of fixed size, as a scalar subquery."""
-    key = lambda c: F.xxhash64(c)
-    bits = bitmap(ids.select(key("id").alias("k")), "k", BITS)
-    one = df.sparkSession.createDataFrame([(bits.view("int64").tolist(),)], "bits array<bigint>")
-    h = F.xxhash64(key("id")).bitwiseAND(F.lit((1 << BITS) - 1))
+    posted = classes.select("uid", F.explode("keys").alias("key"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("uid", F.col("key").bitwiseAND(F.lit(3))), "uid")
+    met = posted.select("uid", F.lag("uid").over(order).alias("other")).where("other is not null and other <> uid")
+    return met.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct()
+
+
+def _wanted(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """Lines whose (doc_id, line_no) may be among places: a bitmap of fixed size, as a scalar subquery."""
+    key = F.xxhash64("doc_id", "line_no")
+    bits = bitmap(places.select(key.alias("k")), "k", BITS)
+    one = lines.sparkSession.createDataFrame([(bits.view("int64").tolist(),)], "bits array<bigint>")
+    h = F.xxhash64(key).bitwiseAND(F.lit((1 << BITS) - 1))
     word = F.get(one.scalar(), F.shiftright(h, 6).cast("int"))
-    return df.withColumn("_h", h).where(F.expr("_h is not null")).where(word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_h").bitwiseAND(F.lit(63)).cast("int"))) != 0).drop("_h")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return lines.where(word.bitwiseAND(bit) != 0)
 
 
-def links(lines: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose lines have exact Jaccard similarity of percent or more over their shingles."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    texts = _wanted(lines.where("id is not null").select("id", "line"), ids).groupBy("id").agg(F.first("line").alias("line"))
-    texts = texts.select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("sh"))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("sh").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("sh").alias("y")), "b")
-    near = both.where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    places = classes.select("uid", "id", "doc_id", "line_no").join(ids, "uid")
+    places = keep(places, "line-places")
+    found = _wanted(lines, places).select(digest(F.col("line")).alias("id"), "line")
+    texts = found.join(places.select("uid", "id"), "id").groupBy("uid").agg(F.first("line").alias("line"))
+    texts = keep(texts, "line-texts")
+    both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("uid").alias("b"), F.col("line").alias("t")), "b")
+    sets = both.select("a", "b", *[F.array_distinct(F.transform(shingles(F.col(c)), lambda x: F.xxhash64(x))).alias(n) for c, n in (("s", "x"), ("t", "y"))])
+    near = sets.where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
     common = F.size(F.array_intersect("x", "y"))
     return near.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where(f"100 * c >= {percent} * (n - c)").select("a", "b")
 
@@ -88,18 +104,20 @@ def links(lines: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFra
 def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, kept of every line of docs (doc_id bigint, text).
 
-    Lines are parted by "\\n", trimmed of spaces and lower-cased. Of each component of equal or linked lines
+    Lines are parted by "\\n", trimmed of white space and lower-cased. Of each component of equal or linked lines
     the one of smallest (doc_id, line_no) stays. Blank lines (all of a null or empty text) are their own
     group and stay. Rows that repeat a doc_id repeat its lines; a null doc_id comes first in the order. An
     empty table gives no rows; long lines are compared whole; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     lines = lines_of(docs)
-    rows = keep(lines.select("doc_id", "line_no", "id"), "lines")
-    pairs = keep(candidates(lines), "line-pairs")
-    comp = components(keep(links(lines, pairs, percent), "line-links"))
-    first = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    named = first.join(comp, "id", "left").select("id", "first", F.coalesce("comp", "id").alias("comp"))
+    rows = keep(bands(lines), "lines")
+    classes = keep(classes_of(rows), "line-classes")
+    rows = rows.select("doc_id", "line_no", "id")
+    pairs = keep(candidates(classes), "line-pairs")
+    comp = components(keep(links(lines, classes, pairs, percent), "line-links")).withColumnRenamed("id", "uid")
+    first = F.struct("doc_id", "line_no")
+    named = classes.select("uid", "id", first.alias("first")).join(comp, "uid", "left").select("id", "first", F.coalesce("comp", "uid").alias("comp"))
     stay = named.groupBy("comp").agg(F.min("first").alias("stay"))
     verdict = named.join(stay, "comp").select("id", "stay")
     return rows.join(verdict, "id", "left").select(
