@@ -15,7 +15,7 @@ from recordloom.llm.store import keep, new_path
 def token_output(spark, docs, sf_dir):
     """Token files of the documents, read back: doc_id, start, n_tokens, ids_crc32."""
     out = new_path(spark, "token-files")
-    planes.write_token_files(docs, out, public_tokenizers.path("byte_bpe_50k.json"))
+    planes.write_token_files(docs, out, public_tokenizers.path("byte_bpe_50k.json"), cache_size=100_000)  # workers hold other stages' models too
     return planes.read_token_files(spark, out)
 
 

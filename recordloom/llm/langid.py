@@ -35,7 +35,7 @@ def _grams(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def _texts(batch: pa.RecordBatch, most: int = 1 << 20):
+def _texts(batch: pa.RecordBatch, most: int = 1 << 18):
     """(first row, end row, grams, bounds) of runs of rows of about most bytes; a longer text comes in pieces."""
     raw, off = _buffers(batch.column("text"))
     lo, n = 0, batch.num_rows

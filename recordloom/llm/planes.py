@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import new_path
-from .tokens import encoder
+from .tokens import CACHE, encoder
 
 CHUNK = 1 << 16
 """Ids in a chunk."""
@@ -64,7 +64,7 @@ def unpack_chunk(data: bytes) -> np.ndarray:
     return ids
 
 
-def _writer(path: str, end_id: int, bits: bool):
+def _writer(path: str, end_id: int, bits: bool, cache_size: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -85,7 +85,7 @@ def _writer(path: str, end_id: int, bits: bool):
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 piece = b.slice(at, 64)
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder(path).encode(piece.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder(path, cache_size).encode(piece.column("text").to_pylist()), strict=True):
                     names.append(doc_id)
                     lengths.append(len(ids) // 4 + 1)
                     held += (ids, end)
@@ -100,15 +100,17 @@ def _writer(path: str, end_id: int, bits: bool):
     return run
 
 
-def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 0, bits: bool = False) -> None:
+def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 0, bits: bool = False, cache_size: int = CACHE) -> None:
     """Encode every whole text (null: empty), append end_id to each and write the file table to out.
 
+    cache_size bounds the pieces a worker remembers: less memory for more time.
+
     Documents stand in ascending doc_id order over the table: parts hold ranges of doc_id, segments follow
     each other within a part. Rows whose doc_id is null come first; rows that repeat a doc_id stay side by
     side. An empty table gives a table without rows. Other columns are ignored.
     """
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(_writer(path, end_id, bits), SCHEMA).write.parquet(out)
+    rows.mapInArrow(_writer(path, end_id, bits, cache_size), SCHEMA).write.parquet(out)
 
 
 def _documents(batches):

@@ -27,7 +27,7 @@ class Encoder:
     generation replaces the older one, and a piece met again moves to the newer.
     """
 
-    def __init__(self, path: str, cache_size: int = 350_000) -> None:
+    def __init__(self, path: str, cache_size: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -92,14 +92,15 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+CACHE = 350_000
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_size: int = CACHE) -> Encoder:
     """This worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, cache_size) not in _encoders:
+        _encoders[path, cache_size] = Encoder(path, cache_size)
+    return _encoders[path, cache_size]
 
 
 def release() -> None:

@@ -157,7 +157,7 @@ def test_token_files(spark, docs, corpus, bits, monkeypatch):
     out = new_path(spark, "files")
     planes.write_token_files(docs, out, BPE, bits=bits)
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in planes.read_token_files(spark, out).collect()}
-    tokenizer, start, want = Encoder(BPE).tokenizer, 0, {}
+    tokenizer, start, want = Encoder(BPE, 9).tokenizer, 0, {}
     for i, t in sorted(corpus):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
         want[i] = start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())

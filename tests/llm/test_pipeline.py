@@ -63,7 +63,7 @@ def test_mixing_drops_toxic_documents(spark):
 
 def test_token_output(stages):
     texts = {r["doc_id"]: r["text"] for r in stages["mixing"].collect()}
-    e, start = Encoder(public_tokenizers.path("byte_bpe_50k.json")).tokenizer, 0
+    e, start = Encoder(public_tokenizers.path("byte_bpe_50k.json"), 9).tokenizer, 0
     got = {r["doc_id"]: r for r in stages["token_output"].collect()}
     assert got.keys() == texts.keys()
     for i in sorted(texts):
