@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import new_path
+from .store import new_path, small_batches
 from .tokens import CACHE, encoder
 
 CHUNK = 1 << 16
@@ -110,7 +110,8 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 0, bit
     side. An empty table gives a table without rows. Other columns are ignored.
     """
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(_writer(path, end_id, bits, cache_size), SCHEMA).write.parquet(out)
+    with small_batches(docs.sparkSession):
+        rows.mapInArrow(_writer(path, end_id, bits, cache_size), SCHEMA).write.parquet(out)
 
 
 def _documents(batches):
