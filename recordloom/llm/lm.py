@@ -28,10 +28,10 @@ LEAST = 3
 """A context seen less often is never kept."""
 HOT = 1 << 18
 """Words whose counts every task has at hand (4 MB); counts of other words are joined."""
-STATES = 1 << 19
-"""Most (context, next word) pairs of the tree that is broadcast (12 MB); contexts of largest gain stay."""
 BUCKET = 1 << 21
-"""Mean number of places counted in one task when contexts are merged."""
+"""Mean number of training words for one bucket of contexts; each bucket is counted and scored in one task."""
+ROWS = 36
+"""Bits of a text's number in its task, in its row number."""
 
 _U = np.uint64
 END = mix(np.array([0xE0D], _U))[0]
@@ -123,39 +123,76 @@ def _press(*planes: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in planes))
 
 
-def _count_contexts(shared, buckets: int):
-    """Counts of (context, next word), packed by context bucket: a few large rows instead of one per place."""
+def _planes(v: np.ndarray, n: int) -> np.ndarray:
+    return np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T)
+
+
+def _steps(v: np.ndarray) -> np.ndarray:
+    return np.diff(v, prepend=_U(0))
+
+
+_READ = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_hot", pa.int64()), ("base_hot", pa.float64()),
+    ("tail", pa.list_(pa.int64())), ("bucket", pa.int64()), ("part", pa.int64()), ("n_near", pa.int64()), ("n_far", pa.int64()), ("body", pa.binary()),
+])
+_READ_DDL = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_hot bigint, base_hot double, tail array<bigint>, bucket bigint, part bigint, n_near bigint, n_far bigint, body binary"
+
+
+def _batch(n: int, schema: pa.Schema, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+
+def _read(shared, buckets: int):
+    """Two kinds of rows from one pass of the texts: each text's unigram sums, and (bucket set) its places with a
+    context, packed by context bucket into a few large rows. A place is context, next word and code: twice the
+    text's number in the task, plus 1 when held out."""
 
     def run(batches):
+        from pyspark import TaskContext
+
         hot: Hot = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        part, row = TaskContext.get().partitionId(), 0
+        known_log = np.log10(hot.counts + 1.0) - hot.log_total
+        held: list[tuple[np.ndarray, ...]] = []
         many = 0
 
         def emit():
-            ctx = np.concatenate([x[0] for x in held])
-            nxt = np.concatenate([x[1] for x in held])
-            bucket = (ctx % _U(buckets)).astype(np.int64)
-            order = np.lexsort((ctx, bucket))
-            ctx, nxt, bucket = ctx[order], nxt[order], bucket[order]
-            ranks = hot.ranks(nxt)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1)) if buckets < len(bucket) else None
-            spans = zip(range(buckets), cuts[:-1], cuts[1:], strict=True) if cuts is not None else (
-                (int(bucket[a]), a, z) for a, z in zip(*(lambda f: (f, np.append(f[1:], len(bucket))))(np.flatnonzero(np.diff(bucket, prepend=-1))), strict=True)
-            )
-            for k, a, z in spans:
-                if z > a:
-                    known = ranks[a:z] >= 0
-                    c, r = ctx[a:z], ranks[a:z]
-                    planes = lambda v, n: np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T)
-                    body = _press(planes(c[known] // _U(buckets), 8), planes(r[known], 3), planes(c[~known] // _U(buckets), 8), planes(nxt[a:z][~known], 8))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([int(known.sum())], pa.int64()), pa.array([int((~known).sum())], pa.int64()), pa.array([body], pa.binary())], ["bucket", "n_hot", "n_tail", "body"])
+            ctx, nxt, rank, code = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((nxt, ctx))
+            ctx, nxt, rank, code = ctx[order], nxt[order], rank[order], code[order]
+            bucket = _bucket(ctx, buckets)
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for a, z in zip(first, np.append(first[1:], len(ctx)), strict=True):
+                near = rank[a:z] >= 0
+                c, k = ctx[a:z], code[a:z]
+                body = _press(
+                    _planes(_steps(c[near]), 8), _planes(rank[a:z][near], 3), _planes(k[near], 5),
+                    _planes(_steps(c[~near]), 8), _planes(nxt[a:z][~near], 8), _planes(k[~near], 5),
+                )
+                one = lambda x: pa.array([int(x)], pa.int64())
+                yield _batch(1, _READ, bucket=one(bucket[a]), part=one(part), n_near=one(near.sum()), n_far=one((~near).sum()), body=pa.array([body], pa.binary()))
 
         for b in batches:
-            for _, _, seq, bounds in _sequences(b.column("text")):
-                at, ctx = _contexts(seq, bounds, hot.ranks(seq))
-                held.append((ctx, seq[at]))
+            out = b.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi, seq, bounds in _sequences(b.column("text")):
+                owner = np.repeat(np.arange(hi - lo), np.diff(bounds))
+                ranks = hot.ranks(seq)
+                near = ranks >= 0
+                tails = np.flatnonzero(~near)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(owner[tails], np.arange(hi - lo + 1)).astype(np.int32)), pa.array(seq[tails].view(np.int64))
+                )
+                yield _batch(
+                    hi - lo, _READ, row=pa.array((part << ROWS) + row + np.arange(hi - lo)), doc_id=b.column("doc_id").slice(lo, hi - lo),
+                    held_out=b.column("held_out").slice(lo, hi - lo), n_tokens=pa.array(np.diff(bounds).astype(np.int64)),
+                    n_hot=pa.array(np.bincount(owner[near], minlength=hi - lo).astype(np.int64)),
+                    base_hot=pa.array(np.bincount(owner[near], weights=known_log[ranks[near]], minlength=hi - lo).astype(np.float64)), tail=lists,
+                )
+                at, ctx = _contexts(seq, bounds, ranks)
+                held.append((ctx, seq[at], ranks[at].astype(np.int32), 2 * (row + owner[at]) + out[lo + owner[at]]))
                 many += len(at)
-                if many > 3_000_000:
+                row += hi - lo
+                if many > 2_000_000:
                     yield from emit()
                     held, many = [], 0
         if many:
@@ -164,7 +201,13 @@ def _count_contexts(shared, buckets: int):
     return run
 
 
-def _unpack(body: bytes, n_hot: int, n_tail: int, bucket: int, buckets: int, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+def _bucket(ctx: np.ndarray, buckets: int) -> np.ndarray:
+    """Ascends with the context."""
+    return (((ctx >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+
+
+def _unpack(body, n_near: int, n_far: int, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, next words, their ranks, codes) of packed places."""
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
@@ -177,122 +220,134 @@ def _unpack(body: bytes, n_hot: int, n_tail: int, bucket: int, buckets: int, hot
         at += n * width
         return out.reshape(-1).view("<u8").astype(_U)
 
-    c1 = take(n_hot, 8)
-    w1 = hot.words[take(n_hot, 3).astype(np.int64)]
-    c2 = take(n_tail, 8)
-    w2 = take(n_tail, 8)
-    return np.concatenate([c1, c2]) * _U(buckets) + _U(bucket), np.concatenate([w1, w2])
+    c1, r1, k1 = np.cumsum(take(n_near, 8), dtype=_U), take(n_near, 3).astype(np.int64), take(n_near, 5).astype(np.int64)
+    c2, w2, k2 = np.cumsum(take(n_far, 8), dtype=_U), take(n_far, 8), take(n_far, 5).astype(np.int64)
+    return np.concatenate([c1, c2]), np.concatenate([hot.words[r1], w2]), np.concatenate([r1, np.full(n_far, -1)]), np.concatenate([k1, k2])
 
 
-def _choose(shared, buckets: int):
-    """Contexts of a bucket that pass the divergence test, with all their next words."""
+def _pairs(ctx: np.ndarray, nxt: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of each different (context, next word), in order."""
+    order = np.lexsort((nxt, ctx))
+    ctx, nxt, c = ctx[order], nxt[order], c[order]
+    if not len(ctx):
+        return ctx, nxt, c
+    new = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (nxt[1:] != nxt[:-1])]))
+    return ctx[new], nxt[new], np.add.reduceat(c, new)
 
-    def run(key, table):
-        hot: Hot = shared.value
-        got = [_unpack(r["body"], r["n_hot"], r["n_tail"], r["bucket"], buckets, hot) for r in table.to_pylist()]
-        ctx, nxt = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
-        del got
-        order = np.argsort(ctx)
-        ctx, nxt = ctx[order], nxt[order]
-        first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-        size = np.diff(np.append(first, len(ctx)))
-        often = np.repeat(size >= LEAST, size)
-        ctx, nxt = ctx[often], nxt[often]
-        order = np.lexsort((nxt, ctx))
-        ctx, nxt = ctx[order], nxt[order]
+
+def _spans(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+    return start, np.diff(np.append(start, len(ctx)))
+
+
+class Tree:
+    """The states of one bucket: every context that passes the divergence test, with all its next words."""
+
+    def __init__(self, ctx: np.ndarray, nxt: np.ndarray, c: np.ndarray, hot: Hot) -> None:
+        """ctx, nxt, c: counts of all training pairs of the bucket (a pair may come more than once)."""
+        if len(ctx):  # rare contexts go before the costlier sort
+            order = np.argsort(ctx)
+            ctx, nxt, c = ctx[order], nxt[order], c[order]
+            start, span = _spans(ctx)
+            often = np.repeat(np.add.reduceat(c, start) >= LEAST, span)
+            ctx, nxt, c = _pairs(ctx[often], nxt[often], c[often])
+        n = np.zeros(0)
         if len(ctx):
-            new = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (nxt[1:] != nxt[:-1])]))
-            c = np.diff(np.append(new, len(ctx))).astype(np.float64)
-            ctx, nxt = ctx[new], nxt[new]
-            start = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-            span = np.diff(np.append(start, len(ctx)))
+            start, span = _spans(ctx)
             n = np.repeat(np.add.reduceat(c, start), span)
             ranks = hot.ranks(nxt)
             # a word outside the hot table counts as its rarest: the gain is then never overstated
             count = np.where(ranks >= 0, hot.counts[np.maximum(ranks, 0)], hot.counts[-1])
             p0 = (count + 1) / (hot.tokens + hot.kinds + 1)
             gain = c * np.log(((c - 1) / p0 + BETA) / (n - 1 + BETA))
-            total = np.add.reduceat(gain, start)
-            stay = np.repeat(total > TEST, span)
-            gains = np.repeat(total, span)
-        else:
-            c = n = gains = np.zeros(0)
-            stay = np.zeros(0, bool)
-        return pa.table({
-            "ctx": pa.array(ctx[stay].view(np.int64)), "w": pa.array(nxt[stay].view(np.int64)),
-            "c": pa.array(c[stay].astype(np.int64)), "n": pa.array(n[stay].astype(np.int64)), "gain": pa.array(gains[stay]),
-        })
+            stay = np.repeat(np.add.reduceat(gain, start) > TEST, span)
+            ctx, nxt, c, n = ctx[stay], nxt[stay], c[stay], n[stay]
+        self.states, first = np.unique(ctx, return_index=True)
+        self.seen = n[first]
+        pair = mix(ctx + nxt * _U(0x9E3779B97F4A7C15))
+        order = np.argsort(pair)
+        self.pairs, self.counts = pair[order], c[order]
 
-    return run
+    def find(self, ctx: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places whose context is a state, times the state was seen, times with the next word)."""
+        if not len(self.states):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        s = np.minimum(np.searchsorted(self.states, ctx), len(self.states) - 1)
+        at = np.flatnonzero(self.states[s] == ctx)
+        pair = mix(ctx[at] + nxt[at] * _U(0x9E3779B97F4A7C15))
+        p = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return at, self.seen[s[at]], np.where(self.pairs[p] == pair, self.counts[p], 0)
 
 
-class Tree:
-    """The states to look up: log10(P / P0) of each seen next word (ratio), and of any other word (other)."""
+_FOUND = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("far_row", pa.list_(pa.int64())), ("far_w", pa.list_(pa.int64())), ("far_c", pa.list_(pa.int64()))])
+_FOUND_DDL = "part bigint, n bigint, body binary, far_row array<bigint>, far_w array<bigint>, far_c array<bigint>"
 
-    def __init__(self, ctx: np.ndarray, w: np.ndarray, ratio: np.ndarray, other: np.ndarray) -> None:
-        self.states, first = np.unique(ctx, return_index=True)
-        self.other = other[first]
-        pair = mix(ctx + w * _U(0x9E3779B97F4A7C15))
-        order = np.argsort(pair)
-        self.pairs, self.ratio = pair[order], ratio[order]
-        self.screen = np.zeros(1 << 18, _U)  # 2 MB, one bit for each state
-        bit = self.states >> _U(40)
-        np.bitwise_or.at(self.screen, (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
-
-    def ratios(self, ctx: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ctx))
-        bit = ctx >> _U(40)
-        maybe = np.flatnonzero((self.screen[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1))
-        if len(maybe) and len(self.states):
-            at = np.minimum(np.searchsorted(self.states, ctx[maybe]), len(self.states) - 1)
-            here = self.states[at] == ctx[maybe]
-            maybe, at = maybe[here], at[here]
-            pair = mix(ctx[maybe] + w[maybe] * _U(0x9E3779B97F4A7C15))
-            p = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            out[maybe] = np.where(self.pairs[p] == pair, self.ratio[p], self.other[at])
-        return out
-
-
-def _score(hot_shared, tree_shared):
-    def run(batches):
-        from pyspark import TaskContext
 
-        hot: Hot = hot_shared.value
-        tree: Tree = tree_shared.value
-        row = TaskContext.get().partitionId() << 36
-        known_log = np.log10(hot.counts + 1.0) - hot.log_total
-        for b in batches:
-            for lo, hi, seq, bounds in _sequences(b.column("text")):
-                owner = np.repeat(np.arange(hi - lo), np.diff(bounds))
-                ranks = hot.ranks(seq)
-                near = ranks >= 0
-                base = np.bincount(owner[near], weights=known_log[ranks[near]], minlength=hi - lo)
-                n_hot = np.bincount(owner[near], minlength=hi - lo)
-                at, ctx = _contexts(seq, bounds, ranks)
-                extra = np.bincount(owner[at], weights=tree.ratios(ctx, seq[at]), minlength=hi - lo)
-                tails = np.flatnonzero(~near)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(owner[tails], np.arange(hi - lo + 1)).astype(np.int32)), pa.array(seq[tails].view(np.int64))
-                )
-                ids = np.arange(row, row + hi - lo)
-                row += hi - lo
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), b.column("doc_id").slice(lo, hi - lo), b.column("held_out").slice(lo, hi - lo), pa.array(np.diff(bounds).astype(np.int64)),
-                     pa.array(n_hot.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(extra.astype(np.float64)), lists],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "extra", "tail"],
-                )
+def _score(shared):
+    """The states of a bucket from its training places, and the sums of log10(P / P0) of all its places by text.
+
+    Places are unpacked one packed row at a time, and pairs merged in between, so a hot context costs memory
+    for its different next words only. Where P0 of a seen next word is not at hand, the place's part
+    log10(c / P0 + BETA) is left to a join: far_row, far_w, far_c.
+    """
+
+    def run(key, table):
+        hot: Hot = shared.value
+        rows = [(p, a, z, x.as_buffer()) for p, a, z, x in zip(*(table.column(n).to_pylist() for n in ("part", "n_near", "n_far")), table.column("body"), strict=True)]
+        held, many = [], 0
+        for _, n_near, n_far, body in rows:
+            ctx, nxt, _, code = _unpack(body, n_near, n_far, hot)
+            learn = code & 1 == 0
+            held.append((ctx[learn], nxt[learn], np.ones(int(learn.sum()), np.int64)))
+            many += len(held[-1][0])
+            if many > 2 * BUCKET:
+                held = [_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                many = len(held[0][0])
+        tree = Tree(*(np.concatenate(x) for x in zip(*held, strict=True)), hot)
+        del held
+        out = []
+        for part, n_near, n_far, body in rows:
+            ctx, nxt, rank, code = _unpack(body, n_near, n_far, hot)
+            at, n, c = tree.find(ctx, nxt)
+            if not len(at):
+                continue
+            rank, text, w = rank[at], code[at] >> 1, nxt[at]
+            p0 = (hot.counts[np.maximum(rank, 0)] + 1) / (hot.tokens + hot.kinds + 1)
+            far = (rank < 0) & (c > 0)
+            value = np.where(far, 0.0, np.log10(c / p0 + BETA)) - np.log10(n + BETA)
+            texts, own = np.unique(text, return_inverse=True)
+            sums = np.bincount(own, weights=value).astype("<f4")
+            body = _press(_planes(_steps(texts.astype(_U)), 5), sums)
+            out.append({"part": part, "n": len(texts), "body": body, "far_row": ((part << ROWS) + text[far]).tolist(), "far_w": w[far].view(np.int64).tolist(), "far_c": c[far].tolist()})
+        return pa.Table.from_pylist(out, schema=_FOUND)
 
     return run
 
 
+def _gather(key, table):
+    """Sums by text of the buckets' sums: the texts of one task of _read."""
+    import zstandard
+
+    part, texts, sums = key[0].as_py(), [], []
+    for n, body in zip(table.column("n").to_pylist(), table.column("body").to_pylist(), strict=True):
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :5] = raw[: 5 * n].reshape(5, n).T
+        texts.append(np.cumsum(wide.reshape(-1).view("<u8")).astype(np.int64))
+        sums.append(raw[5 * n :].view("<f4"))
+    texts, own = np.unique(np.concatenate(texts), return_inverse=True)
+    return pa.table({"row": pa.array((part << ROWS) + texts), "extra": pa.array(np.bincount(own, weights=np.concatenate(sums)).astype(np.float64))})
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, held_out boolean): learn from rows not held out, score all.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score (unigram,
     add one), score (suffix tree); logarithms to base 10. Null texts count as empty: one end token. Counts
-    of words and contexts are taken over all training texts and merged by shuffles; on the driver come
-    HOT word counts and at most STATES pairs. A table without training rows scores with N = V = 0; an
-    empty table gives no rows; repeated rows are learned and scored as often as they stand there.
+    of words and contexts are taken over all training texts and merged by shuffles; every context that passes
+    the test is a state, and places meet the states in the bucket of their context. On the driver come HOT
+    word counts only. A table without training rows scores with N = V = 0; an empty table gives no rows;
+    repeated rows are learned and scored as often as they stand there.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -307,42 +362,28 @@ def score_texts(docs: DataFrame) -> DataFrame:
     hot_shared = sc.broadcast(hot)
 
     buckets = max(8, tokens // BUCKET)
-    packed = train.mapInArrow(_count_contexts(hot_shared, buckets), "bucket bigint, n_hot bigint, n_tail bigint, body binary")
-    chosen = keep(packed.groupBy("bucket").applyInArrow(_choose(hot_shared, buckets), "ctx bigint, w bigint, c bigint, n bigint, gain double"), "contexts")
-    pairs = chosen.count()
-    if pairs > STATES:  # the gain above which all contexts together fit
-        levels = chosen.groupBy(F.floor(F.log("gain") * 64).alias("level")).agg(F.count(F.lit(1)).alias("m")).collect()  # at most a few thousand levels
-        room, cut = STATES, None
-        for r in sorted(levels, key=lambda r: -r["level"]):
-            room -= r["m"]
-            if room < 0:
-                break
-            cut = r["level"]
-        chosen = chosen.where(F.floor(F.log("gain") * 64) >= F.lit(cut)) if cut is not None else chosen.limit(0)
-    p0 = (F.col("total") + 1) / F.lit(float(tokens + kinds + 1))
-    states = chosen.join(words.withColumnRenamed("c", "total"), "w").select(
-        "ctx", "w", F.log10((F.col("c") + BETA * p0) / ((F.col("n") + BETA) * p0)).cast("float").alias("ratio"), F.log10(BETA / (F.col("n") + BETA)).cast("float").alias("other")
-    ).toArrow()  # STATES rows of 24 bytes
-    tree = Tree(states["ctx"].to_numpy().view(_U), states["w"].to_numpy().view(_U), states["ratio"].to_numpy(), states["other"].to_numpy())
-    del states
-    tree_shared = sc.broadcast(tree)
-
-    scored = keep(
-        docs.mapInArrow(_score(hot_shared, tree_shared), "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_hot bigint, base_hot double, extra double, tail array<bigint>"),
-        "scores",
-    )
+    read = keep(docs.mapInArrow(_read(hot_shared, buckets), _READ_DDL), "places")
+    scored = read.where("bucket is null").select("row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "tail")
+    packed = read.where("bucket is not null").select("bucket", "part", "n_near", "n_far", "body")
+    found = keep(packed.groupBy("bucket").applyInArrow(_score(hot_shared), _FOUND_DDL), "contexts")
+    extra = found.select("part", "n", "body").groupBy("part").applyInArrow(_gather, "row bigint, extra double")
+
     log_total = F.lit(float(hot.log_total))
+    far = found.select(F.explode(F.arrays_zip("far_row", "far_w", "far_c")).alias("x")).select(F.col("x.far_row").alias("row"), F.col("x.far_w").alias("w"), F.col("x.far_c").alias("seen"))
+    total = F.coalesce("c", F.lit(0)) + F.lit(1.0)
     tail = (
-        scored.select("row", F.explode("tail").alias("w")).join(words, "w", "left")
+        scored.select("row", F.explode("tail").alias("w"), F.lit(None).cast("bigint").alias("seen")).union(far).join(words, "w", "left")
         .groupBy("row").agg(
-            F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - log_total).alias("base_tail"),
-            F.count("c").alias("n_tail"),
+            F.sum(F.when(F.col("seen").isNull(), F.log10(total) - log_total)).alias("base_tail"),
+            F.count(F.when(F.col("seen").isNull(), F.col("c"))).alias("n_tail"),
+            F.sum(F.log10(F.col("seen") * F.lit(float(tokens + kinds + 1)) / total + BETA)).alias("extra_tail"),
         )
     )
     base = F.col("base_hot") + F.coalesce("base_tail", F.lit(0.0))
-    return scored.drop("tail").join(tail, "row", "left").select(
+    score = base + F.coalesce("extra", F.lit(0.0)) + F.coalesce("extra_tail", F.lit(0.0))
+    return scored.drop("tail").join(tail, "row", "left").join(extra, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), (base + F.col("extra")).alias("score"),
+        F.lit(tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), score.alias("score"),
     )
 
 
