@@ -5,7 +5,8 @@ letter (all its shingles where few begin at one). Bands are runs of BAND neighbo
 signature: two lines of similarity J share a run with probability J ** BAND at each place, so lines above
 the threshold miss each other at every place only rarely. Lines that meet in a band are compared by the
 exact Jaccard similarity of all their shingles, links are joined by distributed union-find, and one line of
-each component stays.
+each component stays. All lines of a band are compared: those of crowded bands, where they lie in different
+components of the links found first, by an exact prefix join.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ BAND = 3
 ANCHORS = "[e]"
 FEW = 6
 """With fewer anchored shingles, a line's signature takes all of its shingles."""
+CROWD = 16
+"""All lines of a band of at most so many meet; those of larger bands meet by a prefix join."""
 BITS = 23
 
 
@@ -64,17 +67,43 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """a, b: uids of different lines that are neighbours in a band, in one of four random orders.
+    """a, b: uids of different lines that share a band of at most CROWD lines, or are neighbours in a larger one.
 
-    A line meets one neighbour in each band (often the same), so n lines make at most n * (DEPTH - BAND + 1)
-    pairs and not n squared.
+    Neighbours stand in one of four random orders. What else shares a larger band is left to crowded().
     """
     posted = classes.select("uid", F.explode("keys").alias("key"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("uid", F.col("key").bitwiseAND(F.lit(3))), "uid")
-    met = posted.select("uid", F.lag("uid").over(order).alias("other")).where("other is not null and other <> uid")
+    band = Window.partitionBy("key")
+    order = band.orderBy(F.xxhash64("uid", F.col("key").bitwiseAND(F.lit(3))), "uid")
+    before = F.collect_list("uid").over(order.rowsBetween(1 - CROWD, -1))
+    met = posted.select("uid", before.alias("before"), F.count(F.lit(1)).over(band).alias("n"))
+    met = met.select(
+        "uid", F.explode(F.when((F.col("n") <= CROWD) | (F.size("before") == 0), F.col("before")).otherwise(F.array(F.element_at("before", -1)))).alias("other")
+    )
+    met = met.where("other <> uid")
     return met.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct()
 
 
+def crowded(lines: DataFrame, classes: DataFrame, comp: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: the pairs of lines of bands of more than CROWD lines that can be links and lie in different components.
+
+    Similar lines share one of the first shingles in any common order (prefix filter), so no link is lost; the
+    order is by frequency among these lines. comp (uid, comp): components of the links found so far.
+    """
+    posted = classes.select("uid", F.explode("keys").alias("key"))
+    big = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {CROWD}").select("key")
+    placed = posted.join(big, "key").join(comp, "uid", "left").select("uid", "key", F.coalesce("comp", "uid").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    few = keep(placed.join(mixed, "key").select("uid", "comp").distinct(), "line-crowds")
+    sets = _texts(lines, classes, few.select("uid")).select("uid", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("sh"))
+    flat = sets.select("uid", F.size("sh").alias("n"), F.explode("sh").alias("h"))
+    ranked = flat.join(flat.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
+    ranked = ranked.select("uid", "n", "h", F.row_number().over(Window.partitionBy("uid").orderBy("df", "h")).alias("r"))
+    prefix = keep(ranked.where(f"r <= n - ({percent} * n + 99) div 100 + 1").join(few, "uid").select("uid", "comp", "n", "h"), "line-prefixes")
+    other = prefix.select("h", *[F.col(c).alias(f"other_{c}") for c in ("uid", "comp", "n")])
+    met = prefix.join(other, "h").where(f"uid < other_uid and comp <> other_comp and 100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
+    return met.select(F.col("uid").alias("a"), F.col("other_uid").alias("b")).distinct()
+
+
 def _wanted(lines: DataFrame, places: DataFrame) -> DataFrame:
     """Lines whose (doc_id, line_no) may be among places: a bitmap of fixed size, as a scalar subquery."""
     key = F.xxhash64("doc_id", "line_no")
@@ -86,14 +115,16 @@ def _wanted(lines: DataFrame, places: DataFrame) -> DataFrame:
     return lines.where(word.bitwiseAND(bit) != 0)
 
 
+def _texts(lines: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """uid, line of the lines with a uid in ids (different uids)."""
+    places = keep(classes.select("uid", "id", "doc_id", "line_no").join(ids, "uid"), "line-places")
+    found = _wanted(lines, places).select(digest(F.col("line")).alias("id"), "line")
+    return keep(found.join(places.select("uid", "id"), "id").groupBy("uid").agg(F.first("line").alias("line")), "line-texts")
+
+
 def links(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose lines have exact Jaccard similarity of percent or more over their shingles."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    places = classes.select("uid", "id", "doc_id", "line_no").join(ids, "uid")
-    places = keep(places, "line-places")
-    found = _wanted(lines, places).select(digest(F.col("line")).alias("id"), "line")
-    texts = found.join(places.select("uid", "id"), "id").groupBy("uid").agg(F.first("line").alias("line"))
-    texts = keep(texts, "line-texts")
+    texts = _texts(lines, classes, pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
     both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("uid").alias("b"), F.col("line").alias("t")), "b")
     sets = both.select("a", "b", *[F.array_distinct(F.transform(shingles(F.col(c)), lambda x: F.xxhash64(x))).alias(n) for c, n in (("s", "x"), ("t", "y"))])
     near = sets.where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
@@ -115,7 +146,12 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = keep(classes_of(rows), "line-classes")
     rows = rows.select("doc_id", "line_no", "id")
     pairs = keep(candidates(classes), "line-pairs")
-    comp = components(keep(links(lines, classes, pairs, percent), "line-links")).withColumnRenamed("id", "uid")
+    linked = keep(links(lines, classes, pairs, percent), "line-links")
+    comp = components(linked).withColumnRenamed("id", "uid")
+    more = keep(crowded(lines, classes, comp, percent), "line-pairs")
+    if more.limit(1).count():
+        again = keep(links(lines, classes, more, percent), "line-links")
+        comp = components(linked.union(again)).withColumnRenamed("id", "uid")
     first = F.struct("doc_id", "line_no")
     named = classes.select("uid", "id", first.alias("first")).join(comp, "uid", "left").select("id", "first", F.coalesce("comp", "uid").alias("comp"))
     stay = named.groupBy("comp").agg(F.min("first").alias("stay"))

@@ -4,7 +4,7 @@ import math
 import random
 from collections import Counter
 
-from recordloom.llm import lm
+from recordloom.llm import line_dedup, lm
 
 
 def test_every_context_that_passes_is_a_state(spark, monkeypatch):
@@ -55,3 +55,27 @@ def test_every_context_that_passes_is_a_state(spark, monkeypatch):
             nx, m = kept.get(context(seqs[i], k), (None, 0))
             score += math.log10((nx[w] + lm.BETA * p0(w)) / (m + lm.BETA) if m else p0(w))
         assert math.isclose(got[i]["score"], score, rel_tol=1e-5, abs_tol=1e-4)
+
+
+def test_all_lines_of_a_band_meet(spark):
+    small, large = [(i, [7]) for i in range(10)], [(100 + i, [8]) for i in range(30)]
+    got = {(r["a"], r["b"]) for r in line_dedup.candidates(spark.createDataFrame(small + large, "uid bigint, keys array<bigint>")).collect()}
+    assert {p for p in got if p[1] < 100} == {(a, b) for b in range(10) for a in range(b)}
+    assert len([p for p in got if p[0] >= 100]) == 29
+
+
+def test_crowded_bands_lose_no_link(spark):
+    # lines of one long passage and an own end, unlike each other; each has a near copy somewhere
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("aeionrstldp") for _ in range(rnd.randint(3, 8)))
+    shared, lines = " ".join(word() for _ in range(14)), []
+    for _ in range(50):
+        end = [word() for _ in range(12)]
+        lines += [f"{shared} {' '.join(end)}", f"{shared} {' '.join([*end[:-1], word()])}"]
+    order = rnd.sample(range(len(lines)), len(lines))
+    rows = [(i, lines[k]) for i, k in enumerate(order)]
+    got = {r["doc_id"]: r["keep_doc_id"] for r in line_dedup.line_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    first = {}
+    for i, k in enumerate(order):
+        first.setdefault(k // 2, i)
+    assert got == {i: first[k // 2] for i, k in enumerate(order)}
