@@ -1,12 +1,12 @@
 """Fuzzy line deduplication by MinHash, with DataFrame and SQL functions only.
 
-A line's signature is the DEPTH smallest hashes of its WIDTH-character shingles that begin at an anchor
-letter (all its shingles where few begin at one). Bands are runs of BAND neighbours of the sorted
-signature: two lines of similarity J share a run with probability J ** BAND at each place, so lines above
-the threshold miss each other at every place only rarely. Lines that meet in a band are compared by the
-exact Jaccard similarity of all their shingles, links are joined by distributed union-find, and one line of
-each component stays. All lines of a band are compared: those of crowded bands, where they lie in different
-components of the links found first, by an exact prefix join.
+A line's signature is the DEPTH smallest hashes of all its WIDTH-character shingles. Bands are runs of BAND
+neighbours of the sorted signature: two lines of similarity J share a run with probability J ** BAND at each
+place, so lines above the threshold miss each other at every place only rarely (about 3 % of pairs at a
+similarity of just 0.75). Lines that meet in a band are compared by the exact Jaccard similarity of all
+their shingles, links are joined by distributed union-find, and one line of each component stays. All lines
+of a band are compared: those of crowded bands, where they lie in different components of the links found
+first, by an exact prefix join.
 """
 
 from __future__ import annotations
@@ -21,9 +21,6 @@ WIDTH = 9
 PERCENT = 75
 DEPTH = 12
 BAND = 3
-ANCHORS = "[e]"
-FEW = 6
-"""With fewer anchored shingles, a line's signature takes all of its shingles."""
 CROWD = 16
 """All lines of a band of at most so many meet; those of larger bands meet by a prefix join."""
 BITS = 23
@@ -49,15 +46,18 @@ def digest(line: Column) -> Column:
     return F.when(line != "", F.unhex(F.md5(line)))
 
 
+def hashed(line: Column) -> Column:
+    """The different hashes of a line's shingles."""
+    return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
+
+
 def bands(lines: DataFrame) -> DataFrame:
     """doc_id, line_no, id, keys: identity and band keys of every line; none for a blank one."""
     place = ["doc_id", "line_no", "id"]
-    some = lines.select("doc_id", "line_no", digest(F.col("line")).alias("id"), "line", F.regexp_extract_all("line", F.lit(f"(?=({ANCHORS}.{{{WIDTH - 1}}}))"), F.lit(1)).alias("anchored"))
-    chosen = some.select(*place, F.when(F.size("anchored") >= FEW, F.col("anchored")).otherwise(shingles(F.col("line"))).alias("sh"))
-    signed = chosen.select(*place, F.slice(F.array_sort(F.array_distinct(F.transform("sh", lambda x: F.xxhash64(x)))), 1, DEPTH).alias("sig"))
-    key = lambda i: F.xxhash64(*[F.get("sig", i + k) for k in range(BAND)])
-    keys = F.transform(F.sequence(F.lit(0), F.greatest(F.size("sig") - BAND, F.lit(0))), key)
-    return signed.select(*place, F.when(F.col("id").isNotNull(), keys).alias("keys"))
+    # sort_array sorts longs in place, array_sort by a comparator that costs twice the rest
+    signed = lines.select("doc_id", "line_no", digest(F.col("line")).alias("id"), F.slice(F.sort_array(hashed(F.col("line"))), 1, DEPTH).alias("sig"))
+    keys = F.array(*[F.xxhash64(*[F.get("sig", F.lit(i + k)) for k in range(BAND)]) for i in range(DEPTH - BAND + 1)])
+    return signed.select(*place, F.when(F.col("id").isNotNull(), F.slice(keys, F.lit(1), F.greatest(F.size("sig") - (BAND - 1), F.lit(1)))).alias("keys"))
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -66,35 +66,50 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return once.select("id", "first.doc_id", "first.line_no", "keys", F.monotonically_increasing_id().alias("uid"))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def _posted(classes: DataFrame) -> DataFrame:
+    return classes.select("uid", F.explode(F.array_distinct("keys")).alias("key"))
+
+
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """key, n, lo, hi, x of each band of two or more lines: their number, least, greatest and exclusive or of uids."""
+    band = _posted(classes).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.bit_xor("uid").alias("x"))
+    return keep(band.where("n > 1"), "line-bands")
+
+
+def candidates(classes: DataFrame, shared: DataFrame) -> DataFrame:
     """a, b: uids of different lines that share a band of at most CROWD lines, or are neighbours in a larger one.
 
-    Neighbours stand in one of four random orders. What else shares a larger band is left to crowded().
+    Most bands hold a line or two: their pairs come from one aggregation of uids by key, those of three lines
+    from the exclusive or of the three. Only the lines of larger bands are looked up again; what shares a band
+    of more than CROWD lines without being neighbours in one of four random orders is left to crowded().
     """
-    posted = classes.select("uid", F.explode("keys").alias("key"))
-    band = Window.partitionBy("key")
-    order = band.orderBy(F.xxhash64("uid", F.col("key").bitwiseAND(F.lit(3))), "uid")
+    mid = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    lo, hi = F.col("lo"), F.col("hi")
+    small = shared.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, mid), pair(lo, hi), pair(mid, hi)))).alias("p")).select("p.a", "p.b")
+
+    large = shared.where("n > 3").select("key", "n")
+    rows = _among(_posted(classes), large, F.col("key")).join(large, "key")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("uid", F.col("key").bitwiseAND(F.lit(3))), "uid")
     before = F.collect_list("uid").over(order.rowsBetween(1 - CROWD, -1))
-    met = posted.select("uid", before.alias("before"), F.count(F.lit(1)).over(band).alias("n"))
+    met = rows.select("uid", "n", before.alias("before"))
     met = met.select(
         "uid", F.explode(F.when((F.col("n") <= CROWD) | (F.size("before") == 0), F.col("before")).otherwise(F.array(F.element_at("before", -1)))).alias("other")
     )
-    met = met.where("other <> uid")
-    return met.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct()
+    return small.union(met.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b"))).distinct()
 
 
-def crowded(lines: DataFrame, classes: DataFrame, comp: DataFrame, percent: int = PERCENT) -> DataFrame:
+def crowded(lines: DataFrame, classes: DataFrame, shared: DataFrame, comp: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: the pairs of lines of bands of more than CROWD lines that can be links and lie in different components.
 
     Similar lines share one of the first shingles in any common order (prefix filter), so no link is lost; the
     order is by frequency among these lines. comp (uid, comp): components of the links found so far.
     """
-    posted = classes.select("uid", F.explode("keys").alias("key"))
-    big = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {CROWD}").select("key")
-    placed = posted.join(big, "key").join(comp, "uid", "left").select("uid", "key", F.coalesce("comp", "uid").alias("comp"))
+    big = shared.where(f"n > {CROWD}").select("key")
+    placed = _among(_posted(classes), big, F.col("key")).join(big, "key").join(comp, "uid", "left").select("uid", "key", F.coalesce("comp", "uid").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     few = keep(placed.join(mixed, "key").select("uid", "comp").distinct(), "line-crowds")
-    sets = _texts(lines, classes, few.select("uid")).select("uid", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("sh"))
+    sets = _texts(lines, classes, few.select("uid")).select("uid", hashed(F.col("line")).alias("sh"))
     flat = sets.select("uid", F.size("sh").alias("n"), F.explode("sh").alias("h"))
     ranked = flat.join(flat.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
     ranked = ranked.select("uid", "n", "h", F.row_number().over(Window.partitionBy("uid").orderBy("df", "h")).alias("r"))
@@ -104,21 +119,20 @@ def crowded(lines: DataFrame, classes: DataFrame, comp: DataFrame, percent: int
     return met.select(F.col("uid").alias("a"), F.col("other_uid").alias("b")).distinct()
 
 
-def _wanted(lines: DataFrame, places: DataFrame) -> DataFrame:
-    """Lines whose (doc_id, line_no) may be among places: a bitmap of fixed size, as a scalar subquery."""
-    key = F.xxhash64("doc_id", "line_no")
-    bits = bitmap(places.select(key.alias("k")), "k", BITS)
-    one = lines.sparkSession.createDataFrame([(bits.view("int64").tolist(),)], "bits array<bigint>")
+def _among(rows: DataFrame, some: DataFrame, key: Column) -> DataFrame:
+    """Rows whose key may be among those of some: a bitmap of fixed size, as a scalar subquery. An exact join must follow."""
+    bits = bitmap(some.select(key.alias("k")), "k", BITS)
+    one = rows.sparkSession.createDataFrame([(bits.view("int64").tolist(),)], "bits array<bigint>")
     h = F.xxhash64(key).bitwiseAND(F.lit((1 << BITS) - 1))
     word = F.get(one.scalar(), F.shiftright(h, 6).cast("int"))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
-    return lines.where(word.bitwiseAND(bit) != 0)
+    return rows.where(word.bitwiseAND(bit) != 0)
 
 
 def _texts(lines: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """uid, line of the lines with a uid in ids (different uids)."""
     places = keep(classes.select("uid", "id", "doc_id", "line_no").join(ids, "uid"), "line-places")
-    found = _wanted(lines, places).select(digest(F.col("line")).alias("id"), "line")
+    found = _among(lines, places, F.xxhash64("doc_id", "line_no")).select(digest(F.col("line")).alias("id"), "line")
     return keep(found.join(places.select("uid", "id"), "id").groupBy("uid").agg(F.first("line").alias("line")), "line-texts")
 
 
@@ -126,7 +140,7 @@ def links(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int =
     """The pairs whose lines have exact Jaccard similarity of percent or more over their shingles."""
     texts = _texts(lines, classes, pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
     both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("uid").alias("b"), F.col("line").alias("t")), "b")
-    sets = both.select("a", "b", *[F.array_distinct(F.transform(shingles(F.col(c)), lambda x: F.xxhash64(x))).alias(n) for c, n in (("s", "x"), ("t", "y"))])
+    sets = both.select("a", "b", *[hashed(F.col(c)).alias(n) for c, n in (("s", "x"), ("t", "y"))])
     near = sets.where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
     common = F.size(F.array_intersect("x", "y"))
     return near.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where(f"100 * c >= {percent} * (n - c)").select("a", "b")
@@ -145,10 +159,11 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = keep(bands(lines), "lines")
     classes = keep(classes_of(rows), "line-classes")
     rows = rows.select("doc_id", "line_no", "id")
-    pairs = keep(candidates(classes), "line-pairs")
+    shared = shared_bands(classes)
+    pairs = keep(candidates(classes, shared), "line-pairs")
     linked = keep(links(lines, classes, pairs, percent), "line-links")
     comp = components(linked).withColumnRenamed("id", "uid")
-    more = keep(crowded(lines, classes, comp, percent), "line-pairs")
+    more = keep(crowded(lines, classes, shared, comp, percent), "line-pairs")
     if more.limit(1).count():
         again = keep(links(lines, classes, more, percent), "line-links")
         comp = components(linked.union(again)).withColumnRenamed("id", "uid")
