@@ -1,4 +1,10 @@
-"""Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k."""
+"""Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
+
+The raw model counts hashed words, word beginnings and word pairs of all rows, plus one in each bucket. The
+target model counts those of the target rows, with PRIOR occurrences spread as the raw model has them. A
+text's weight is log p_target - log p_raw of all its n-grams; the sample without replacement takes the rows of
+largest weight + Gumbel noise (Gumbel top-k: draws proportional to p_target / p_raw).
+"""
 
 from __future__ import annotations
 
@@ -15,16 +21,12 @@ SIZE = 1 << 18
 """Hash buckets of words, word beginnings and word pairs."""
 BEGINNING = 6
 """Bytes of a word that are an n-gram of their own."""
-CLEAR, LEAST = 5.0, 20.0
-"""Standard deviations of a count (of at least LEAST) within which the two models do not differ."""
-SHRINK = 20.0
-"""Occurrences of the raw model that smooth each n-gram of the target model."""
+PRIOR = 1 << 18
+"""Occurrences, spread as in the raw model, that smooth the target model: one for each bucket on average."""
 LABELLED = 1 << 17
 """Most labelled documents that the target model is fitted on."""
 SHARE = 0.75
 """Share of the rows that is sampled."""
-SHARPNESS = 20.0
-"""Weight of the length-corrected log ratio against the Gumbel noise."""
 _U = np.uint64
 
 
@@ -48,7 +50,14 @@ def _models(shared):
     return count
 
 
-def _weigh(shared, drift: float):
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log p_target - log p_raw of each bucket, from the counts of all rows and of the target rows."""
+    p_raw = (raw + 1.0) / (raw.sum() + len(raw))
+    p_target = (target + PRIOR * p_raw) / (target.sum() + PRIOR)
+    return np.log(p_target) - np.log(p_raw)
+
+
+def _weigh(shared):
     def run(batches):
         ratio = shared.value
         for b in batches:
@@ -57,42 +66,37 @@ def _weigh(shared, drift: float):
                 at, owner = _grams(h, bounds)
                 n[lo:hi] += np.bincount(owner, minlength=hi - lo)
                 weight[lo:hi] += np.bincount(owner, weights=ratio[at], minlength=hi - lo)
-            corrected = (weight - drift * n) / np.sqrt(np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(weight), pa.array(corrected)], ["doc_id", "n_grams", "log_weight", "corrected"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(weight)], ["doc_id", "n_grams", "log_weight"])
 
     return run
 
 
+def gumbel(doc_id):
+    """Gumbel noise of an id, from a uniform number in (0, 1) of 52 bits of its hash."""
+    u = (F.xxhash64(doc_id, F.lit("gumbel")).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
+    return -F.log(-F.log(u))
+
+
 def resample(docs: DataFrame, target_ids: np.ndarray, share: float = SHARE) -> DataFrame:
-    """docs (doc_id bigint, text) -> doc_id, n_grams, log_weight, score, kept; one row per row.
-
-    log_weight: log p_target - log p_raw of the text's hashed words, word beginnings and word pairs (raw counts
-    all rows; target the rows whose doc_id is in target_ids, smoothed to raw, and equal to it where
-    the counts do not clearly differ). Long texts of any kind drift with their
-    length, so score corrects it: (log_weight - drift * n) / sqrt(n), drift being the target's mean
-    ratio. The sample without replacement takes the round(share * rows) largest SHARPNESS * score +
-    Gumbel(doc_id); ties by doc_id. Null and wordless texts have weight 0 and score 0. A null doc_id is
-    never kept; an empty table gives no rows.
+    """docs (doc_id bigint, text) -> doc_id, n_grams, log_weight, score, per_gram, kept; one row per row.
+
+    log_weight: log p_target - log p_raw of the text (see above; target: the rows whose doc_id is in target_ids).
+    score: log_weight + Gumbel(doc_id), by which the round(share * rows) largest are kept, to six decimals, ties
+    by doc_id. per_gram: log_weight / n_grams, which does not depend on a text's length, for reports only.
+    Null and wordless texts have weight 0. A null doc_id is never kept; rows that repeat a doc_id have the same
+    noise, and those that are also equal in score come in together, so the sample may exceed its size by them.
+    An empty table gives no rows; without target rows all weights are 0. Other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
     total = fixed_counts(docs, 2 * SIZE, _models(sc.broadcast(target_ids)))
-    raw, target = total[:SIZE].astype(float), total[SIZE:].astype(float)
-    part = max(target.sum(), 1.0) / max(raw.sum(), 1.0)
-    ratio = np.log((target + SHRINK * part) / ((raw + SHRINK) * part))  # p_target / p_raw, target smoothed to raw
-    # n-grams whose counts chance explains tell a labelled text from another, not a good one from a bad one
-    ratio[np.abs(target - part * raw) <= CLEAR * np.sqrt(np.maximum(raw, LEAST) * part * max(1 - part, 1e-9))] = 0.0
-    drift = float(target @ ratio / max(1.0, target.sum()))
-    weights = docs.mapInArrow(_weigh(sc.broadcast(ratio.astype(np.float32)), drift), "doc_id bigint, n_grams bigint, log_weight double, corrected double")
-    # uniform in (0, 1) from 52 bits of a hash
-    u = (F.xxhash64("doc_id", F.lit("gumbel")).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
-    rows = keep(
-        weights.withColumn("score", F.col("corrected"))
-        .withColumn("place", F.floor((F.col("score") * SHARPNESS - F.log(-F.log(u))) * 1e6).cast("bigint")).drop("corrected"),
-        "weights",
-    )
+    ratio = log_ratios(total[:SIZE].astype(float), total[SIZE:].astype(float))
+    weights = docs.mapInArrow(_weigh(sc.broadcast(ratio)), "doc_id bigint, n_grams bigint, log_weight double")
+    score = F.col("log_weight") + gumbel("doc_id")
+    rows = keep(weights.withColumn("score", score).withColumn("place", F.round(score * 1e6).cast("bigint")), "weights")
     kept = top_k(rows, round(share * rows.count()), "place", "doc_id")
-    return rows.select("doc_id", "n_grams", "log_weight", "score", kept.alias("kept"))
+    per_gram = F.col("log_weight") / F.greatest("n_grams", F.lit(1))
+    return rows.select("doc_id", "n_grams", "log_weight", "score", per_gram.alias("per_gram"), kept.alias("kept"))
 
 
 def op4_importance_resampling(spark, sf_dir):
