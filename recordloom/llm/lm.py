@@ -1,12 +1,16 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
-The root of the tree is the add-one unigram distribution P0 of the training words. A context is the run
-of words just before a word that reaches back to the nearest word outside the FILLERS most frequent ones,
-at most DEPTH words; so frequent words alone make no context, and every place has one candidate. A context
-stays in the tree when its next-word distribution diverges from the root's by a leave-one-out
-log-likelihood ratio of more than TEST nats; next words are smoothed to the root,
-P(w | context) = (c + BETA * P0(w)) / (n + BETA). A text is scored with the longest suffix that is a state.
-As P = P0 * (P / P0), a text's score is its unigram score plus the logarithms of P / P0 at its states.
+The root of the tree is the add-one unigram distribution P0 of the training words. A context is the run of the
+1 to DEPTH words just before a word, within its text; its parent is the run without the farthest word, the
+root for one word. A context is a state when its next-word distribution diverges from the one its parent
+gives by a leave-one-out log-likelihood ratio of more than TEST nats; its next words are smoothed to that,
+P(w | context) = (c + BETA * P(w | parent)) / (n + BETA), and a context that is no state hands on P(w | parent).
+So a word is scored with the longest suffix before it that is a state. As P = P0 * (P / P0), a text's score is
+its unigram score plus the logarithms of P / P0 at its places.
+
+A context and all its suffixes end in the same word, so places are dealt into buckets by that word, and the
+contexts of a bucket are counted, tested and used there. A word too frequent for one bucket is split by the
+word before it; its own next-word counts are then summed over all rows and given to each of its buckets.
 """
 
 from __future__ import annotations
@@ -21,17 +25,21 @@ from .store import keep
 from .textkit import groups, mix
 
 DEPTH = 3
-FILLERS = 256
 BETA = 1.0
 TEST = 6.0
 LEAST = 3
 """A context seen less often is never kept."""
 HOT = 1 << 18
 """Words whose counts every task has at hand (4 MB); counts of other words are joined."""
-BUCKET = 1 << 21
-"""Mean number of training words for one bucket of contexts; each bucket is counted and scored in one task."""
+BUCKET = 1 << 20
+"""Mean number of training words for one bucket; each bucket is counted and scored in one task."""
+BUCKETS_A_TASK = 8
 ROWS = 36
 """Bits of a text's number in its task, in its row number."""
+EMIT = 2_000_000
+"""Places that a reading task packs at once."""
+NONE = (1 << 24) - 1
+"""In packed places, stands for no word before the text's first."""
 
 _U = np.uint64
 END = mix(np.array([0xE0D], _U))[0]
@@ -40,13 +48,15 @@ END = mix(np.array([0xE0D], _U))[0]
 class Hot:
     """Counts of the most frequent words; rank 0 is the most frequent."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, kinds: int) -> None:
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, kinds: int, size: int = BUCKET) -> None:
         order = np.lexsort((words, -counts))
         self.words, self.counts = words[order], counts[order]
         by = np.argsort(self.words)
         self.sorted, self.rank_of = self.words[by], by.astype(np.int64)
         self.tokens, self.kinds = tokens, kinds
         self.log_total = np.log10(tokens + kinds + 1)
+        # buckets that a word's places are split into: about size / 2 places in each
+        self.splits = np.where(2 * self.counts > size, -(-2 * self.counts // size), 1).astype(_U)
 
     def ranks(self, w: np.ndarray) -> np.ndarray:
         """Rank of each word, -1 where it is not among them."""
@@ -68,23 +78,21 @@ def _sequences(texts: pa.Array):
         yield lo, hi, seq, out
 
 
-def _contexts(seq: np.ndarray, bounds: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, context hash at each): places without a context are left out."""
-    n = len(seq)
-    filler = (ranks >= 0) & (ranks < FILLERS)
-    place = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
-    ctx, found = np.zeros(n, _U), np.zeros(n, bool)
-    run, open_ = np.zeros(n, _U), np.ones(n, bool)
-    for k in range(1, DEPTH + 1):
-        back = np.arange(n) - k
-        open_ = open_ & (place >= k)
-        word, fill = seq[back], filler[back]
-        run = mix(run + word * _U(2 * k + 1))
-        here = open_ & ~fill
-        ctx[here], found[here] = run[here], True
-        open_ = open_ & fill
-    at = np.flatnonzero(found)
-    return at, ctx[at]
+def _chain(before: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the runs of the 1, 2, ... words before a place; before: the nearest word first."""
+    keys = [mix(before[0].astype(_U) + _U(0x51ED270B0A1F39C5))]
+    for k, w in enumerate(before[1:], 2):
+        keys.append(mix(keys[-1] + w.astype(_U) * _U(2 * k + 1)))
+    return keys
+
+
+def _pair(key: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    return mix(key + nxt * _U(0x9E3779B97F4A7C15))
+
+
+def _bucket(key: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of places whose last word has this key; part: which of the parts the word is split into."""
+    return (((mix(key + part) >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
 
 
 def _fold(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,57 +128,81 @@ def _count_words(batches):
 def _press(*planes: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in planes))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(p.tobytes() for p in planes))
 
 
 def _planes(v: np.ndarray, n: int) -> np.ndarray:
     return np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T)
 
 
-def _steps(v: np.ndarray) -> np.ndarray:
-    return np.diff(v, prepend=_U(0))
-
-
 _READ = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_hot", pa.int64()), ("base_hot", pa.float64()),
-    ("tail", pa.list_(pa.int64())), ("bucket", pa.int64()), ("part", pa.int64()), ("n_near", pa.int64()), ("n_far", pa.int64()), ("body", pa.binary()),
+    ("tail", pa.list_(pa.int64())), ("bucket", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("rare", pa.list_(pa.int64())), ("body", pa.binary()),
+    ("w", pa.list_(pa.int64())), ("nxt", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())),
 ])
-_READ_DDL = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_hot bigint, base_hot double, tail array<bigint>, bucket bigint, part bigint, n_near bigint, n_far bigint, body binary"
+_READ_DDL = (
+    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_hot bigint, base_hot double, tail array<bigint>, "
+    "bucket bigint, part bigint, n bigint, rare array<bigint>, body binary, w array<bigint>, nxt array<bigint>, c array<bigint>"
+)
 
 
-def _batch(n: int, schema: pa.Schema, **columns) -> pa.RecordBatch:
+def _batch(n: int, schema: pa.Schema, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
 
+def _list(v: np.ndarray) -> pa.Array:
+    """One row that holds all of v."""
+    return pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v.astype(np.int64)))
+
+
 def _read(shared, buckets: int):
-    """Two kinds of rows from one pass of the texts: each text's unigram sums, and (bucket set) its places with a
-    context, packed by context bucket into a few large rows. A place is context, next word and code: twice the
-    text's number in the task, plus 1 when held out."""
+    """Three kinds of rows from one pass of the texts: each text's unigram sums; (bucket set) its places with a word
+    before them, packed by bucket into a few large rows; (w set) training counts of the next words of split words.
+
+    A place is its DEPTH words before, its word and a code: twice the text's number in the task, plus 1 when held
+    out. Words are ranks, or HOT and more for the packed row's own list of others.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
         hot: Hot = shared.value
+        many_hot = len(hot.words)
         part, row = TaskContext.get().partitionId(), 0
         known_log = np.log10(hot.counts + 1.0) - hot.log_total
         held: list[tuple[np.ndarray, ...]] = []
-        many = 0
+        others: list[np.ndarray] = []
+        many = seen = 0
 
         def emit():
-            ctx, nxt, rank, code = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((nxt, ctx))
-            ctx, nxt, rank, code = ctx[order], nxt[order], rank[order], code[order]
-            bucket = _bucket(ctx, buckets)
+            *before, nxt, code = (np.concatenate(x) for x in zip(*held, strict=True))
+            others_, place = np.unique(np.concatenate(others), return_inverse=True)
+            # words outside the hot table get one number for each different word; -1 is no word
+            number = lambda w: np.where(w >= many_hot, many_hot + place[np.maximum(w - many_hot, 0)], w) if len(place) else w
+            before, nxt = [number(w) for w in before], number(nxt)
+            word = lambda w: np.where(w >= many_hot, others_[np.maximum(w - many_hot, 0)], np.maximum(w, 0).astype(_U)) if len(others_) else np.maximum(w, 0).astype(_U)
+            last, known = _chain([word(before[0])])[0], before[0] < many_hot
+            splits = np.where(known, hot.splits[np.minimum(before[0], many_hot - 1)], _U(1)) if many_hot else np.ones(len(nxt), _U)
+            bucket = _bucket(last, mix(word(before[1]) + _U(1)) % splits, buckets)
+            order = np.lexsort((*(w for w in (nxt, *before[::-1])), bucket))
+            before, nxt, code, bucket, splits = [w[order] for w in before], nxt[order], code[order], bucket[order], splits[order]
+            one = lambda x: pa.array([int(x)], pa.int64())
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, z in zip(first, np.append(first[1:], len(ctx)), strict=True):
-                near = rank[a:z] >= 0
-                c, k = ctx[a:z], code[a:z]
-                body = _press(
-                    _planes(_steps(c[near]), 8), _planes(rank[a:z][near], 3), _planes(k[near], 5),
-                    _planes(_steps(c[~near]), 8), _planes(nxt[a:z][~near], 8), _planes(k[~near], 5),
-                )
-                one = lambda x: pa.array([int(x)], pa.int64())
-                yield _batch(1, _READ, bucket=one(bucket[a]), part=one(part), n_near=one(near.sum()), n_far=one((~near).sum()), body=pa.array([body], pa.binary()))
+            for a, z in zip(first, np.append(first[1:], len(bucket)), strict=True):
+                columns = [w[a:z] for w in (*before, nxt)]
+                own = np.unique(np.concatenate([w[w >= many_hot] for w in columns])).astype(np.int64)
+                columns = [np.where(w >= many_hot, many_hot + np.searchsorted(own, w), np.where(w < 0, NONE, w)) for w in columns]
+                rare = np.unique(columns[-1][columns[-1] >= many_hot]).astype(np.int64) - many_hot
+                listed = others_[own - many_hot] if len(own) else np.zeros(0, _U)
+                body = _press(listed, *(_planes(w, 3) for w in columns), _planes(code[a:z], 5))
+                yield _batch(1, _READ, bucket=one(bucket[a]), part=one(part), n=one(z - a), rare=_list(listed[rare].view(np.int64)), body=pa.array([body], pa.binary()))
+            learn = np.flatnonzero((splits > 1) & (code & 1 == 0))
+            if len(learn):
+                w, x = before[0][learn].astype(np.int64), nxt[learn].astype(np.int64)
+                both, c = np.unique(w << 24 | x, return_counts=True)
+                for at in range(0, len(both), 65536):
+                    k = both[at : at + 65536]
+                    yield _batch(1, _READ, w=_list(k >> 24), nxt=_list(word(k & ((1 << 24) - 1)).view(np.int64)), c=_list(c[at : at + 65536]))
 
         for b in batches:
             out = b.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -188,137 +220,184 @@ def _read(shared, buckets: int):
                     n_hot=pa.array(np.bincount(owner[near], minlength=hi - lo).astype(np.int64)),
                     base_hot=pa.array(np.bincount(owner[near], weights=known_log[ranks[near]], minlength=hi - lo).astype(np.float64)), tail=lists,
                 )
-                at, ctx = _contexts(seq, bounds, ranks)
-                held.append((ctx, seq[at], ranks[at].astype(np.int32), 2 * (row + owner[at]) + out[lo + owner[at]]))
+                words = ranks.astype(np.int32)
+                words[tails] = many_hot + seen + np.arange(len(tails))
+                others.append(seq[tails])
+                seen += len(tails)
+                place = np.arange(len(seq)) - np.repeat(bounds[:-1], np.diff(bounds))
+                at = np.flatnonzero(place > 0)
+                before = [np.where(place[at] >= k, words[at - k], np.int32(-1)) for k in range(1, DEPTH + 1)]
+                held.append((*before, words[at], 2 * (row + owner[at]) + out[lo + owner[at]]))
                 many += len(at)
                 row += hi - lo
-                if many > 2_000_000:
+                if many > EMIT:
                     yield from emit()
-                    held, many = [], 0
+                    held, others, many, seen = [], [], 0, 0
         if many:
             yield from emit()
 
     return run
 
 
-def _bucket(ctx: np.ndarray, buckets: int) -> np.ndarray:
-    """Ascends with the context."""
-    return (((ctx >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
-
-
-def _unpack(body, n_near: int, n_far: int, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, next words, their ranks, codes) of packed places."""
+def _unpack(body, n: int, hot: Hot) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """(words before, nearest first; whether each is there; words; codes) of a packed row's places. A word is its
+    rank in the hot table or else its hash."""
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
-    at = 0
+    many_hot, at = len(hot.words), len(raw) - n * (3 * (DEPTH + 1) + 5)
+    names = np.concatenate([np.arange(many_hot, dtype=_U), raw[:at].view("<u8").astype(_U)])
 
-    def take(n, width):
+    def take(width):
         nonlocal at
         out = np.zeros((n, 8), np.uint8)
         out[:, :width] = raw[at : at + n * width].reshape(width, n).T
         at += n * width
-        return out.reshape(-1).view("<u8").astype(_U)
+        return out.reshape(-1).view("<u8").astype(np.int64)
+
+    before, there = [], []
+    for _ in range(DEPTH):
+        w = take(3)
+        there.append(w < NONE)
+        before.append(np.where(there[-1], names[np.minimum(w, len(names) - 1)], _U(NONE)) if len(names) else np.full(n, NONE, _U))
+    nxt = take(3)
+    return before, there, names[nxt], take(5)
+
+
+class Roots:
+    """P0 of words, by rank or hash."""
+
+    def __init__(self, hot: Hot, words: np.ndarray, counts: np.ndarray) -> None:
+        """words, counts: hashes and training counts of words outside the hot table."""
+        self.hot = hot
+        self.words, first = np.unique(words, return_index=True)
+        self.counts = counts[first]
+
+    def __call__(self, w: np.ndarray) -> np.ndarray:
+        many, c = len(self.hot.counts), np.zeros(len(w))
+        near = w < _U(many)
+        c[near] = self.hot.counts[w[near].astype(np.int64)]
+        if len(self.words):
+            far = np.flatnonzero(~near)
+            at = np.minimum(np.searchsorted(self.words, w[far]), len(self.words) - 1)
+            c[far] = np.where(self.words[at] == w[far], self.counts[at], 0)
+        return (c + 1) / (self.hot.tokens + self.hot.kinds + 1)
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys, first of each group of equal ones in that order)."""
+    order = np.argsort(keys)
+    k = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
 
-    c1, r1, k1 = np.cumsum(take(n_near, 8), dtype=_U), take(n_near, 3).astype(np.int64), take(n_near, 5).astype(np.int64)
-    c2, w2, k2 = np.cumsum(take(n_far, 8), dtype=_U), take(n_far, 8), take(n_far, 5).astype(np.int64)
-    return np.concatenate([c1, c2]), np.concatenate([hot.words[r1], w2]), np.concatenate([r1, np.full(n_far, -1)]), np.concatenate([k1, k2])
 
+class Tree:
+    """The states of one bucket, by length: every context that passes the divergence test, with all its next words."""
+
+    def __init__(self, before: list[np.ndarray], there: list[np.ndarray], nxt: np.ndarray, c: np.ndarray, whole: tuple[np.ndarray, ...], roots: Roots) -> None:
+        """before, there, nxt, c: counts of the bucket's training places. whole (word, next word, count): the counts over
+        all rows of the words that are split, in place of the bucket's own."""
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        keys, p0 = _chain(before), roots(nxt)
+        split = np.unique(whole[0])
+        for d in range(DEPTH):
+            if d == 0:
+                own = np.flatnonzero(there[0] & ~np.isin(before[0], split))
+                key = np.concatenate([keys[0][own], _chain([whole[0]])[0]])
+                word, many = np.concatenate([nxt[own], whole[1]]), np.concatenate([c[own], whole[2]])
+                lower = np.concatenate([p0[own], roots(whole[1])])
+            else:
+                own = np.flatnonzero(there[d])
+                key, word, many = keys[d][own], nxt[own], c[own]
+                lower = None
+            order, first = _groups(key)
+            if len(first):  # rare contexts go before the costlier part
+                n = np.repeat(np.add.reduceat(many[order], first), np.diff(np.append(first, len(order))))
+                often = order[n >= LEAST]
+                n = n[n >= LEAST]
+            if not len(first) or not len(often):
+                self.levels.append((np.zeros(0, _U), np.zeros(0), np.zeros(0, _U), np.zeros(0)))
+                continue
+            pair = _pair(key[often], word[often])
+            order, first = _groups(pair)
+            take, count, n = often[order[first]], np.add.reduceat(many[often[order]], first).astype(float), n[order[first]].astype(float)
+            pair, key = pair[order[first]], key[take]
+            if lower is None:
+                at = own[take]
+                parent = self.probability([k[at] for k in keys[:d]], [x[at] for x in there[:d]], nxt[at], p0[at])
+            else:
+                parent = lower[take]
+            gain = count * np.log(((count - 1) / parent + BETA) / (n - 1 + BETA))
+            order, first = _groups(key)
+            passed = np.add.reduceat(gain[order], first) > TEST
+            states, seen = key[order[first]][passed], n[order[first]][passed]
+            stay = np.zeros(len(key), bool)
+            stay[order] = np.repeat(passed, np.diff(np.append(first, len(order))))
+            self.levels.append((states, seen, pair[stay], count[stay]))
+
+    def probability(self, keys: list[np.ndarray], there: list[np.ndarray], nxt: np.ndarray, p0: np.ndarray) -> np.ndarray:
+        """P of each next word, with the longest states there are among the given contexts."""
+        p = p0.copy()
+        for key, here, (states, seen, pairs, counts) in zip(keys, there, self.levels, strict=False):
+            if not len(states):
+                continue
+            s = np.minimum(np.searchsorted(states, key), len(states) - 1)
+            at = np.flatnonzero((states[s] == key) & here)
+            pair = _pair(key[at], nxt[at])
+            j = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+            c = np.where(pairs[j] == pair, counts[j], 0.0)
+            p[at] = (c + BETA * p[at]) / (seen[s[at]] + BETA)
+        return p
 
-def _pairs(ctx: np.ndarray, nxt: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of each different (context, next word), in order."""
-    order = np.lexsort((nxt, ctx))
-    ctx, nxt, c = ctx[order], nxt[order], c[order]
-    if not len(ctx):
-        return ctx, nxt, c
-    new = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (nxt[1:] != nxt[:-1])]))
-    return ctx[new], nxt[new], np.add.reduceat(c, new)
 
+def _merged(held: list[tuple]) -> tuple:
+    """Places with counts, those that are alike as one: words before, whether there, next word, count."""
+    before, there = ([np.concatenate(x) for x in zip(*(h[k] for h in held), strict=True)] for k in (0, 1))
+    nxt, c = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+    order, first = _groups(_pair(_chain(before)[-1], nxt))
+    take = order[first]
+    return [w[take] for w in before], [x[take] for x in there], nxt[take], np.add.reduceat(c[order], first) if len(first) else c
 
-def _spans(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-    return start, np.diff(np.append(start, len(ctx)))
 
+_FOUND = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+_FOUND_DDL = "part bigint, n bigint, body binary"
 
-class Tree:
-    """The states of one bucket: every context that passes the divergence test, with all its next words."""
-
-    def __init__(self, ctx: np.ndarray, nxt: np.ndarray, c: np.ndarray, hot: Hot) -> None:
-        """ctx, nxt, c: counts of all training pairs of the bucket (a pair may come more than once)."""
-        if len(ctx):  # rare contexts go before the costlier sort
-            order = np.argsort(ctx)
-            ctx, nxt, c = ctx[order], nxt[order], c[order]
-            start, span = _spans(ctx)
-            often = np.repeat(np.add.reduceat(c, start) >= LEAST, span)
-            ctx, nxt, c = _pairs(ctx[often], nxt[often], c[often])
-        n = np.zeros(0)
-        if len(ctx):
-            start, span = _spans(ctx)
-            n = np.repeat(np.add.reduceat(c, start), span)
-            ranks = hot.ranks(nxt)
-            # a word outside the hot table counts as its rarest: the gain is then never overstated
-            count = np.where(ranks >= 0, hot.counts[np.maximum(ranks, 0)], hot.counts[-1])
-            p0 = (count + 1) / (hot.tokens + hot.kinds + 1)
-            gain = c * np.log(((c - 1) / p0 + BETA) / (n - 1 + BETA))
-            stay = np.repeat(np.add.reduceat(gain, start) > TEST, span)
-            ctx, nxt, c, n = ctx[stay], nxt[stay], c[stay], n[stay]
-        self.states, first = np.unique(ctx, return_index=True)
-        self.seen = n[first]
-        pair = mix(ctx + nxt * _U(0x9E3779B97F4A7C15))
-        order = np.argsort(pair)
-        self.pairs, self.counts = pair[order], c[order]
-
-    def find(self, ctx: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places whose context is a state, times the state was seen, times with the next word)."""
-        if not len(self.states):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        s = np.minimum(np.searchsorted(self.states, ctx), len(self.states) - 1)
-        at = np.flatnonzero(self.states[s] == ctx)
-        pair = mix(ctx[at] + nxt[at] * _U(0x9E3779B97F4A7C15))
-        p = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        return at, self.seen[s[at]], np.where(self.pairs[p] == pair, self.counts[p], 0)
-
-
-_FOUND = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("far_row", pa.list_(pa.int64())), ("far_w", pa.list_(pa.int64())), ("far_c", pa.list_(pa.int64()))])
-_FOUND_DDL = "part bigint, n bigint, body binary, far_row array<bigint>, far_w array<bigint>, far_c array<bigint>"
-
-
-def _score(shared):
+
+def _score(shared, size: int):
     """The states of a bucket from its training places, and the sums of log10(P / P0) of all its places by text.
 
-    Places are unpacked one packed row at a time, and pairs merged in between, so a hot context costs memory
-    for its different next words only. Where P0 of a seen next word is not at hand, the place's part
-    log10(c / P0 + BETA) is left to a join: far_row, far_w, far_c.
+    Places are unpacked one packed row at a time, and equal ones merged in between, so a run of words that very many
+    texts share costs memory for its different neighbours only.
     """
 
-    def run(key, table):
+    def run(key, packed, extra):
         hot: Hot = shared.value
-        rows = [(p, a, z, x.as_buffer()) for p, a, z, x in zip(*(table.column(n).to_pylist() for n in ("part", "n_near", "n_far")), table.column("body"), strict=True)]
+        rows = [(p, n, x.as_buffer()) for p, n, x in zip(*(packed.column(c).to_pylist() for c in ("part", "n")), packed.column("body"), strict=True)]
+        w, nxt, c, known = (extra.column(x).to_numpy() for x in ("w", "nxt", "c", "known"))
+        far, whole = known >= 0, w >= 0
+        roots = Roots(hot, nxt[far].view(_U), known[far])
         held, many = [], 0
-        for _, n_near, n_far, body in rows:
-            ctx, nxt, _, code = _unpack(body, n_near, n_far, hot)
+        for _, n, body in rows:
+            before, there, word, code = _unpack(body, n, hot)
             learn = code & 1 == 0
-            held.append((ctx[learn], nxt[learn], np.ones(int(learn.sum()), np.int64)))
-            many += len(held[-1][0])
-            if many > 2 * BUCKET:
-                held = [_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                many = len(held[0][0])
-        tree = Tree(*(np.concatenate(x) for x in zip(*held, strict=True)), hot)
-        del held
+            held.append(([x[learn] for x in before], [x[learn] for x in there], word[learn], np.ones(int(learn.sum()), np.int64)))
+            many += len(held[-1][2])
+            if many > 2 * size:
+                held = [_merged(held)]
+                many = len(held[0][2])
         out = []
-        for part, n_near, n_far, body in rows:
-            ctx, nxt, rank, code = _unpack(body, n_near, n_far, hot)
-            at, n, c = tree.find(ctx, nxt)
-            if not len(at):
-                continue
-            rank, text, w = rank[at], code[at] >> 1, nxt[at]
-            p0 = (hot.counts[np.maximum(rank, 0)] + 1) / (hot.tokens + hot.kinds + 1)
-            far = (rank < 0) & (c > 0)
-            value = np.where(far, 0.0, np.log10(c / p0 + BETA)) - np.log10(n + BETA)
-            texts, own = np.unique(text, return_inverse=True)
-            sums = np.bincount(own, weights=value).astype("<f4")
-            body = _press(_planes(_steps(texts.astype(_U)), 5), sums)
-            out.append({"part": part, "n": len(texts), "body": body, "far_row": ((part << ROWS) + text[far]).tolist(), "far_w": w[far].view(np.int64).tolist(), "far_c": c[far].tolist()})
+        if held:
+            tree = Tree(*_merged(held), (w[whole].astype(_U), nxt[whole].view(_U), c[whole]), roots)
+            del held
+        for part, n, body in rows:
+            before, there, word, code = _unpack(body, n, hot)
+            p0 = roots(word)
+            value = np.log10(tree.probability(_chain(before), there, word, p0) / p0)
+            at = np.flatnonzero(value)
+            if len(at):
+                texts, own = np.unique(code[at] >> 1, return_inverse=True)
+                sums = np.bincount(own, weights=value[at]).astype("<f4")
+                out.append({"part": part, "n": len(texts), "body": _press(_planes(np.diff(texts, prepend=0), 5), sums)})
         return pa.Table.from_pylist(out, schema=_FOUND)
 
     return run
@@ -339,15 +418,34 @@ def _gather(key, table):
     return pa.table({"row": pa.array((part << ROWS) + texts), "extra": pa.array(np.bincount(own, weights=np.concatenate(sums)).astype(np.float64))})
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def _to_buckets(shared, buckets: int):
+    """Each row (w, nxt, c, known) of a split word, for all the word's buckets."""
+
+    def run(batches):
+        hot: Hot = shared.value
+        for b in batches:
+            w = b.column("w").to_numpy()
+            ranks, own = np.unique(w, return_inverse=True)
+            homes = [np.unique(_bucket(np.repeat(_chain([np.array([r], _U)])[0], int(hot.splits[r])), np.arange(int(hot.splits[r]), dtype=_U), buckets)) for r in ranks]
+            for k, home in enumerate(homes):
+                rows = b.filter(pa.array(own == k))
+                for bucket in home:  # a row of each of the word's next words for each bucket
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, bucket)), *rows.columns], ["bucket", *rows.schema.names])
+
+    return run
+
+
+def score_texts(docs: DataFrame, hot_words: int = HOT, size: int = BUCKET) -> DataFrame:
     """docs (doc_id, text, held_out boolean): learn from rows not held out, score all.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score (unigram,
     add one), score (suffix tree); logarithms to base 10. Null texts count as empty: one end token. Counts
     of words and contexts are taken over all training texts and merged by shuffles; every context that passes
-    the test is a state, and places meet the states in the bucket of their context. On the driver come HOT
-    word counts only. A table without training rows scores with N = V = 0; an empty table gives no rows;
-    repeated rows are learned and scored as often as they stand there.
+    the test is a state, and places meet the states in the bucket of their last word. On the driver come
+    hot_words word counts only; neither that number nor size (training words for a bucket) changes a score.
+    A table without training rows scores with N = V = 0; an empty table gives no rows; repeated rows are
+    learned and scored as often as they stand there; a null doc_id is scored like any; a null held_out is
+    false; other columns are ignored.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -357,33 +455,34 @@ def score_texts(docs: DataFrame) -> DataFrame:
     stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, kinds = int(stats["n"]), int(stats["v"])
     ranked = words.withColumn("tie", F.shiftright("w", 2))
-    top = ranked.where(top_k(ranked, HOT, "c", "tie")).select("w", "c").toArrow()  # HOT rows
-    hot = Hot(top["w"].to_numpy().view(_U), top["c"].to_numpy(), tokens, kinds)
-    hot_shared = sc.broadcast(hot)
+    top = ranked.where(top_k(ranked, hot_words, "c", "tie")).select("w", "c").toArrow()  # hot_words rows
+    hot_shared = sc.broadcast(hot := Hot(top["w"].to_numpy().view(_U), top["c"].to_numpy(), tokens, kinds, size))
 
-    buckets = max(8, tokens // BUCKET)
+    buckets = max(8, tokens // size)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // BUCKETS_A_TASK)
     read = keep(docs.mapInArrow(_read(hot_shared, buckets), _READ_DDL), "places")
-    scored = read.where("bucket is null").select("row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "tail")
-    packed = read.where("bucket is not null").select("bucket", "part", "n_near", "n_far", "body")
-    found = keep(packed.groupBy("bucket").applyInArrow(_score(hot_shared), _FOUND_DDL), "contexts")
-    extra = found.select("part", "n", "body").groupBy("part").applyInArrow(_gather, "row bigint, extra double")
+    scored = read.where("row is not null").select("row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "tail")
+    packed = read.where("bucket is not null").select("bucket", "part", "n", "body")
+    # what a bucket needs besides its places: counts of its words outside the hot table, and of all next words of split words
+    rare = read.where("bucket is not null").select("bucket", F.explode("rare").alias("nxt")).distinct().join(words.select(F.col("w").alias("nxt"), F.col("c").alias("known")), "nxt")
+    after = read.where("w is not null").select(F.explode(F.arrays_zip("w", "nxt", "c")).alias("x")).groupBy("x.w", "x.nxt").agg(F.sum("x.c").alias("c"))
+    after = after.join(words.select(F.col("w").alias("nxt"), F.col("c").alias("known")), "nxt", "left").select("w", "nxt", "c", F.coalesce("known", F.lit(-1)).alias("known"))
+    kinds_ = "bucket bigint, w bigint, nxt bigint, c bigint, known bigint"
+    extra = keep(rare.select("bucket", F.lit(-1).cast("bigint").alias("w"), "nxt", F.lit(0).cast("bigint").alias("c"), "known").unionByName(after.mapInArrow(_to_buckets(hot_shared, buckets), kinds_)), "next-words")
+    found = keep(
+        packed.repartition(tasks, "bucket").groupBy("bucket").cogroup(extra.repartition(tasks, "bucket").groupBy("bucket")).applyInArrow(_score(hot_shared, size), _FOUND_DDL), "contexts"
+    )
+    sums = found.groupBy("part").applyInArrow(_gather, "row bigint, extra double")
 
     log_total = F.lit(float(hot.log_total))
-    far = found.select(F.explode(F.arrays_zip("far_row", "far_w", "far_c")).alias("x")).select(F.col("x.far_row").alias("row"), F.col("x.far_w").alias("w"), F.col("x.far_c").alias("seen"))
-    total = F.coalesce("c", F.lit(0)) + F.lit(1.0)
     tail = (
-        scored.select("row", F.explode("tail").alias("w"), F.lit(None).cast("bigint").alias("seen")).union(far).join(words, "w", "left")
-        .groupBy("row").agg(
-            F.sum(F.when(F.col("seen").isNull(), F.log10(total) - log_total)).alias("base_tail"),
-            F.count(F.when(F.col("seen").isNull(), F.col("c"))).alias("n_tail"),
-            F.sum(F.log10(F.col("seen") * F.lit(float(tokens + kinds + 1)) / total + BETA)).alias("extra_tail"),
-        )
+        scored.select("row", F.explode("tail").alias("w")).join(words, "w", "left").groupBy("row")
+        .agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - log_total).alias("base_tail"), F.count("c").alias("n_tail"))
     )
     base = F.col("base_hot") + F.coalesce("base_tail", F.lit(0.0))
-    score = base + F.coalesce("extra", F.lit(0.0)) + F.coalesce("extra_tail", F.lit(0.0))
-    return scored.drop("tail").join(tail, "row", "left").join(extra, "row", "left").select(
+    return scored.drop("tail").join(tail, "row", "left").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), score.alias("score"),
+        F.lit(tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), (base + F.coalesce("extra", F.lit(0.0))).alias("score"),
     )
 
 

@@ -220,63 +220,45 @@ def test_binary_fuse_filter(n):
     assert exact_dedup.fuse_contains(other, *f).mean() < 0.012
 
 
-def test_suffix_tree_scores(spark, docs, corpus):
+@pytest.mark.parametrize("hot_words, size", [(lm.HOT, lm.BUCKET), (25, 200), (1, 40)])
+def test_suffix_tree_scores(spark, docs, corpus, hot_words, size):
+    """With all words at hand in a few buckets, and with few words at hand and frequent words split over buckets."""
     held = {i: i % 4 == 0 for i, _ in corpus}
-    rows = spark.createDataFrame([(i, t, held[i]) for i, t in corpus], "doc_id bigint, text string, held_out boolean")
-    got = {r["doc_id"]: r for r in lm.score_texts(rows).collect()}
+    rows = spark.createDataFrame([(i, t, held[i]) for i, t in corpus], "doc_id bigint, text string, held_out boolean").repartition(3)
+    got = {r["doc_id"]: r for r in lm.score_texts(rows, hot_words, size).collect()}
     seqs = {i: [*words(t), "<end>"] for i, t in corpus}
     c = Counter(w for i, s in seqs.items() if not held[i] for w in s)
     n, v = sum(c.values()), len(c)
-    order = sorted(c, key=lambda w: -c[w])
-    level = c[order[lm.FILLERS]] if len(c) > lm.FILLERS else 0
-    fillers = {w for w in c if c[w] > level}  # ties at the border are settled by hash: leave them out below
-    border = {w for w in c if c[w] == level}
     p0 = lambda w: (c[w] + 1) / (n + v + 1)
-
-    def context(s, k):
-        out = []
-        for d in range(1, lm.DEPTH + 1):
-            if k - d < 0:
-                return None
-            w = s[k - d]
-            if w in border:
-                return "unsure"
-            out.append(w)
-            if w not in fillers:
-                return tuple(out)
-        return None
-
-    table = {}
+    nexts = {}
     for i, s in seqs.items():
-        if not held[i]:
-            for k in range(len(s)):
-                x = context(s, k)
-                if x and x != "unsure":
-                    table.setdefault(x, Counter())[s[k]] += 1
-
-    kept = {}
-    for x, nx in table.items():
-        m = sum(nx.values())
-        if m >= lm.LEAST:
-            gain = sum(k * math.log(((k - 1) / p0(w) + lm.BETA) / (m - 1 + lm.BETA)) for w, k in nx.items())
-            if gain > lm.TEST:
-                kept[x] = nx, m
+        for k in range(len(s)):
+            for d in range(1, min(k, lm.DEPTH) + 1):
+                if not held[i]:
+                    nexts.setdefault(tuple(s[k - d : k]), Counter())[s[k]] += 1
+    states = {}
+
+    def probability(context, w):
+        if not context:
+            return p0(w)
+        lower = probability(context[1:], w)
+        if context not in states:
+            return lower
+        return (nexts[context][w] + lm.BETA * lower) / (states[context] + lm.BETA)
+
+    for d in range(1, lm.DEPTH + 1):
+        for x in [x for x in nexts if len(x) == d]:
+            m, parents = sum(nexts[x].values()), {w: probability(x[1:], w) for w in nexts[x]}
+            gain = sum(k * math.log(((k - 1) / parents[w] + lm.BETA) / (m - 1 + lm.BETA)) for w, k in nexts[x].items())
+            if m >= lm.LEAST and gain > lm.TEST:
+                states[x] = m
+    assert {len(x) for x in states} == set(range(1, lm.DEPTH + 1))
     for i, s in seqs.items():
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(s), sum(w in c for w in s), n, held[i])
-        base = sum(math.log10(p0(w)) for w in s)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9, abs_tol=1e-9)
-        if not any(context(s, k) == "unsure" for k in range(len(s))):
-            score = 0.0
-            for k, w in enumerate(s):
-                x = context(s, k)
-                if x in kept:
-                    nx, m = kept[x]
-                    score += math.log10((nx[w] + lm.BETA * p0(w)) / (m + lm.BETA))
-                else:
-                    score += math.log10(p0(w))
-            assert math.isclose(r["score"], score, rel_tol=1e-5, abs_tol=1e-4)
-
+        assert math.isclose(r["base_score"], sum(math.log10(p0(w)) for w in s), rel_tol=1e-9, abs_tol=1e-9)
+        score = sum(math.log10(probability(tuple(s[max(0, k - lm.DEPTH) : k]), w)) for k, w in enumerate(s))
+        assert math.isclose(r["score"], score, rel_tol=1e-5, abs_tol=1e-4)
 
 
 def test_language_id(spark):
