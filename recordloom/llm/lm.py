@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .counts import top_k
-from .store import keep
+from .store import keep, small_batches
 from .textkit import groups, mix
 
 DEPTH = 3
@@ -135,29 +135,33 @@ def _planes(v: np.ndarray, n: int) -> np.ndarray:
     return np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T)
 
 
-_READ = pa.schema([
-    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_hot", pa.int64()), ("base_hot", pa.float64()),
-    ("tail", pa.list_(pa.int64())), ("bucket", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("rare", pa.list_(pa.int64())), ("body", pa.binary()),
-    ("w", pa.list_(pa.int64())), ("nxt", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())),
-])
-_READ_DDL = (
-    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_hot bigint, base_hot double, tail array<bigint>, "
-    "bucket bigint, part bigint, n bigint, rare array<bigint>, body binary, w array<bigint>, nxt array<bigint>, c array<bigint>"
-)
+_TEXT = [
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_hot", pa.int64()), ("base_hot", pa.float64()), ("tail", pa.list_(pa.int64())),
+]
+_TEXT_DDL = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_hot bigint, base_hot double, tail array<bigint>"
+_READ = pa.schema([*_TEXT, ("bucket", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+_READ_DDL = f"{_TEXT_DDL}, bucket bigint, part bigint, n bigint, body binary"
 
 
 def _batch(n: int, schema: pa.Schema, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
 
-def _list(v: np.ndarray) -> pa.Array:
-    """One row that holds all of v."""
-    return pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v.astype(np.int64)))
+def _splits(hot: Hot, w: np.ndarray) -> np.ndarray:
+    """How many parts the places after each word are split into; w: ranks, or more for other words."""
+    if not len(hot.splits):
+        return np.ones(len(w), _U)
+    return np.where(w < len(hot.splits), hot.splits[np.minimum(w, len(hot.splits) - 1)], _U(1))
+
+
+def _home(hot: Hot, last: np.ndarray, names: tuple[np.ndarray, np.ndarray], buckets: int) -> np.ndarray:
+    """Bucket of places with these last words; names: what the last word and the one before it are known by."""
+    return _bucket(_chain([names[0]])[0], mix(names[1] + _U(1)) % _splits(hot, last), buckets)
 
 
 def _read(shared, buckets: int):
-    """Three kinds of rows from one pass of the texts: each text's unigram sums; (bucket set) its places with a word
-    before them, packed by bucket into a few large rows; (w set) training counts of the next words of split words.
+    """Two kinds of rows from one pass of the texts: each text's unigram sums (bucket below 0, one for each task), and
+    its places with a word before them, packed by bucket into a few large rows.
 
     A place is its DEPTH words before, its word and a code: twice the text's number in the task, plus 1 when held
     out. Words are ranks, or HOT and more for the packed row's own list of others.
@@ -180,29 +184,19 @@ def _read(shared, buckets: int):
             # words outside the hot table get one number for each different word; -1 is no word
             number = lambda w: np.where(w >= many_hot, many_hot + place[np.maximum(w - many_hot, 0)], w) if len(place) else w
             before, nxt = [number(w) for w in before], number(nxt)
-            word = lambda w: np.where(w >= many_hot, others_[np.maximum(w - many_hot, 0)], np.maximum(w, 0).astype(_U)) if len(others_) else np.maximum(w, 0).astype(_U)
-            last, known = _chain([word(before[0])])[0], before[0] < many_hot
-            splits = np.where(known, hot.splits[np.minimum(before[0], many_hot - 1)], _U(1)) if many_hot else np.ones(len(nxt), _U)
-            bucket = _bucket(last, mix(word(before[1]) + _U(1)) % splits, buckets)
+            name = lambda w: np.where(w >= many_hot, others_[np.maximum(w - many_hot, 0)], np.maximum(w, 0).astype(_U)) if len(others_) else np.maximum(w, 0).astype(_U)
+            bucket = _home(hot, before[0], (name(before[0]), name(before[1])), buckets)
             order = np.lexsort((*(w for w in (nxt, *before[::-1])), bucket))
-            before, nxt, code, bucket, splits = [w[order] for w in before], nxt[order], code[order], bucket[order], splits[order]
+            before, nxt, code, bucket = [w[order] for w in before], nxt[order], code[order], bucket[order]
             one = lambda x: pa.array([int(x)], pa.int64())
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, z in zip(first, np.append(first[1:], len(bucket)), strict=True):
                 columns = [w[a:z] for w in (*before, nxt)]
                 own = np.unique(np.concatenate([w[w >= many_hot] for w in columns])).astype(np.int64)
                 columns = [np.where(w >= many_hot, many_hot + np.searchsorted(own, w), np.where(w < 0, NONE, w)) for w in columns]
-                rare = np.unique(columns[-1][columns[-1] >= many_hot]).astype(np.int64) - many_hot
                 listed = others_[own - many_hot] if len(own) else np.zeros(0, _U)
                 body = _press(listed, *(_planes(w, 3) for w in columns), _planes(code[a:z], 5))
-                yield _batch(1, _READ, bucket=one(bucket[a]), part=one(part), n=one(z - a), rare=_list(listed[rare].view(np.int64)), body=pa.array([body], pa.binary()))
-            learn = np.flatnonzero((splits > 1) & (code & 1 == 0))
-            if len(learn):
-                w, x = before[0][learn].astype(np.int64), nxt[learn].astype(np.int64)
-                both, c = np.unique(w << 24 | x, return_counts=True)
-                for at in range(0, len(both), 65536):
-                    k = both[at : at + 65536]
-                    yield _batch(1, _READ, w=_list(k >> 24), nxt=_list(word(k & ((1 << 24) - 1)).view(np.int64)), c=_list(c[at : at + 65536]))
+                yield _batch(1, _READ, bucket=one(bucket[a]), part=one(part), n=one(z - a), body=pa.array([body], pa.binary()))
 
         for b in batches:
             out = b.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -219,6 +213,7 @@ def _read(shared, buckets: int):
                     held_out=b.column("held_out").slice(lo, hi - lo), n_tokens=pa.array(np.diff(bounds).astype(np.int64)),
                     n_hot=pa.array(np.bincount(owner[near], minlength=hi - lo).astype(np.int64)),
                     base_hot=pa.array(np.bincount(owner[near], weights=known_log[ranks[near]], minlength=hi - lo).astype(np.float64)), tail=lists,
+                    bucket=pa.array(np.full(hi - lo, -1 - part)),
                 )
                 words = ranks.astype(np.int32)
                 words[tails] = many_hot + seen + np.arange(len(tails))
@@ -239,6 +234,42 @@ def _read(shared, buckets: int):
     return run
 
 
+_NEED_DDL = "bucket bigint, w bigint, nxt bigint, c bigint"
+
+
+def _needs(shared, buckets: int):
+    """What buckets need besides their places: (bucket, -1, word, 0) of words outside the hot table, and (-1, rank,
+    next word, count) of what follows split words in training texts."""
+
+    def run(batches):
+        hot: Hot = shared.value
+        many_hot = len(hot.words)
+
+        def batch(bucket, w, nxt, c):
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in (bucket, w, nxt.view(np.int64), c)], ["bucket", "w", "nxt", "c"])
+
+        for b in batches:
+            out = b.column("held_out").to_numpy(zero_copy_only=False)
+            for lo, hi, seq, bounds in _sequences(b.column("text")):
+                ranks = hot.ranks(seq)
+                words, name = np.where(ranks >= 0, ranks, many_hot), np.where(ranks >= 0, ranks.astype(_U), seq)
+                place = np.arange(len(seq)) - np.repeat(bounds[:-1], np.diff(bounds))
+                at = np.flatnonzero((place > 0) & (ranks < 0))
+                if len(at):
+                    second = np.where(place[at] >= 2, name[at - 2], _U(0))
+                    bucket = _home(hot, words[at - 1], (name[at - 1], second), buckets)
+                    _, first = np.unique(mix(seq[at]) + bucket.astype(_U), return_index=True)
+                    yield batch(bucket[first], np.full(len(first), -1), seq[at[first]], np.zeros(len(first), np.int64))
+                learn = np.repeat(~out[lo:hi], np.diff(bounds)) & (place > 0)
+                learn[1:] &= _splits(hot, words[:-1]) > 1
+                at = np.flatnonzero(learn)
+                if len(at):
+                    _, first, c = np.unique(_pair(name[at - 1], name[at]), return_index=True, return_counts=True)
+                    yield batch(np.full(len(first), -1), words[at[first] - 1], name[at[first]], c)
+
+    return run
+
+
 def _unpack(body, n: int, hot: Hot) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
     """(words before, nearest first; whether each is there; words; codes) of a packed row's places. A word is its
     rank in the hot table or else its hash."""
@@ -359,19 +390,21 @@ def _merged(held: list[tuple]) -> tuple:
     return [w[take] for w in before], [x[take] for x in there], nxt[take], np.add.reduceat(c[order], first) if len(first) else c
 
 
-_FOUND = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
-_FOUND_DDL = "part bigint, n bigint, body binary"
+_FOUND = pa.schema([*_TEXT, ("part", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+_FOUND_DDL = f"{_TEXT_DDL}, part bigint, n bigint, body binary"
 
 
 def _score(shared, size: int):
     """The states of a bucket from its training places, and the sums of log10(P / P0) of all its places by text.
 
     Places are unpacked one packed row at a time, and equal ones merged in between, so a run of words that very many
-    texts share costs memory for its different neighbours only.
+    texts share costs memory for its different neighbours only. A bucket below 0 holds texts, which pass through.
     """
 
     def run(key, packed, extra):
         hot: Hot = shared.value
+        if key[0].as_py() < 0:
+            return packed.select(_FOUND.names)
         rows = [(p, n, x.as_buffer()) for p, n, x in zip(*(packed.column(c).to_pylist() for c in ("part", "n")), packed.column("body"), strict=True)]
         w, nxt, c, known = (extra.column(x).to_numpy() for x in ("w", "nxt", "c", "known"))
         far, whole = known >= 0, w >= 0
@@ -419,18 +452,20 @@ def _gather(key, table):
 
 
 def _to_buckets(shared, buckets: int):
-    """Each row (w, nxt, c, known) of a split word, for all the word's buckets."""
+    """Rows (bucket, w, nxt, c, known) of a split word w, for all the word's buckets; others as they are."""
 
     def run(batches):
         hot: Hot = shared.value
         for b in batches:
             w = b.column("w").to_numpy()
-            ranks, own = np.unique(w, return_inverse=True)
-            homes = [np.unique(_bucket(np.repeat(_chain([np.array([r], _U)])[0], int(hot.splits[r])), np.arange(int(hot.splits[r]), dtype=_U), buckets)) for r in ranks]
-            for k, home in enumerate(homes):
-                rows = b.filter(pa.array(own == k))
-                for bucket in home:  # a row of each of the word's next words for each bucket
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, bucket)), *rows.columns], ["bucket", *rows.schema.names])
+            for r in np.unique(w):
+                rows = b.filter(pa.array(w == r))
+                if r < 0:
+                    yield pa.RecordBatch.from_arrays(rows.columns, rows.schema.names)
+                    continue
+                parts = np.arange(int(hot.splits[r]), dtype=_U)
+                for home in np.unique(_bucket(np.repeat(_chain([np.array([r], _U)])[0], len(parts)), parts, buckets)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, home, np.int64)), *rows.columns[1:]], rows.schema.names)
 
     return run
 
@@ -460,19 +495,15 @@ def score_texts(docs: DataFrame, hot_words: int = HOT, size: int = BUCKET) -> Da
 
     buckets = max(8, tokens // size)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // BUCKETS_A_TASK)
-    read = keep(docs.mapInArrow(_read(hot_shared, buckets), _READ_DDL), "places")
-    scored = read.where("row is not null").select("row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "tail")
-    packed = read.where("bucket is not null").select("bucket", "part", "n", "body")
-    # what a bucket needs besides its places: counts of its words outside the hot table, and of all next words of split words
-    rare = read.where("bucket is not null").select("bucket", F.explode("rare").alias("nxt")).distinct().join(words.select(F.col("w").alias("nxt"), F.col("c").alias("known")), "nxt")
-    after = read.where("w is not null").select(F.explode(F.arrays_zip("w", "nxt", "c")).alias("x")).groupBy("x.w", "x.nxt").agg(F.sum("x.c").alias("c"))
-    after = after.join(words.select(F.col("w").alias("nxt"), F.col("c").alias("known")), "nxt", "left").select("w", "nxt", "c", F.coalesce("known", F.lit(-1)).alias("known"))
-    kinds_ = "bucket bigint, w bigint, nxt bigint, c bigint, known bigint"
-    extra = keep(rare.select("bucket", F.lit(-1).cast("bigint").alias("w"), "nxt", F.lit(0).cast("bigint").alias("c"), "known").unionByName(after.mapInArrow(_to_buckets(hot_shared, buckets), kinds_)), "next-words")
-    found = keep(
-        packed.repartition(tasks, "bucket").groupBy("bucket").cogroup(extra.repartition(tasks, "bucket").groupBy("bucket")).applyInArrow(_score(hot_shared, size), _FOUND_DDL), "contexts"
-    )
-    sums = found.groupBy("part").applyInArrow(_gather, "row bigint, extra double")
+    needs = docs.mapInArrow(_needs(hot_shared, buckets), _NEED_DDL).groupBy("bucket", "w", "nxt").agg(F.sum("c").alias("c"))
+    needs = needs.join(words.select(F.col("w").alias("nxt"), F.col("c").alias("known")), "nxt", "left")
+    needs = needs.select("bucket", "w", "nxt", "c", F.coalesce("known", F.lit(-1)).alias("known")).where("w >= 0 or known >= 0")
+    extra = keep(needs.mapInArrow(_to_buckets(hot_shared, buckets), f"{_NEED_DDL}, known bigint"), "next-words")
+    with small_batches(spark):
+        read = docs.mapInArrow(_read(hot_shared, buckets), _READ_DDL).repartition(tasks, "bucket").groupBy("bucket")
+        found = keep(read.cogroup(extra.repartition(tasks, "bucket").groupBy("bucket")).applyInArrow(_score(hot_shared, size), _FOUND_DDL), "contexts")
+    scored = found.where("row is not null").select("row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "tail")
+    sums = found.where("body is not null").select("part", "n", "body").groupBy("part").applyInArrow(_gather, "row bigint, extra double")
 
     log_total = F.lit(float(hot.log_total))
     tail = (
