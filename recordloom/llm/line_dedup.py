@@ -1,12 +1,16 @@
 """Fuzzy line deduplication by MinHash, with DataFrame and SQL functions only.
 
-A line's signature is the DEPTH smallest hashes of all its WIDTH-character shingles. Bands are runs of BAND
+A line's signature is the DEPTH smallest hashes of its WIDTH-character shingles: of those that begin a word (or
+stand at any other character than a-z) where there are FEW or more, of all where there are fewer than twice FEW;
+so a line in between has both signatures, and similar lines always have one of a kind. Bands are runs of BAND
 neighbours of the sorted signature: two lines of similarity J share a run with probability J ** BAND at each
-place, so lines above the threshold miss each other at every place only rarely (about 3 % of pairs at a
-similarity of just 0.75). Lines that meet in a band are compared by the exact Jaccard similarity of all
-their shingles, links are joined by distributed union-find, and one line of each component stays. All lines
-of a band are compared: those of crowded bands, where they lie in different components of the links found
-first, by an exact prefix join.
+place, so lines above the threshold miss each other at every place only rarely. Pairs that meet in a band and
+whose signatures agree in SOME or more of DEPTH places are compared by the exact Jaccard similarity of all
+their shingles, links are joined by distributed union-find, and one line of each component stays.
+
+In a band of many lines each is first compared with the band's most central one. After the union-find, lines of
+different components of a band meet: all of them in bands of at most CROWD lines; in larger ones the
+neighbours in the order of their signatures, and then all that remain different by an exact prefix join.
 """
 
 from __future__ import annotations
@@ -21,8 +25,11 @@ WIDTH = 9
 PERCENT = 75
 DEPTH = 12
 BAND = 3
+FEW = 12
+SOME = 5
 CROWD = 16
-"""All lines of a band of at most so many meet; those of larger bands meet by a prefix join."""
+NEAR = 3
+"""Lines before it that a line of a larger band is compared with, in the order of signatures."""
 BITS = 23
 
 
@@ -52,70 +59,97 @@ def hashed(line: Column) -> Column:
 
 
 def bands(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, id, keys: identity and band keys of every line; none for a blank one."""
-    place = ["doc_id", "line_no", "id"]
+    """doc_id, line_no, id, sig_w, sig_a: identity and signatures of every line; no identity for a blank one."""
+    # a run of letters and the character after it are passed over at once, so the scan stops at beginnings only
+    begins = F.regexp_extract_all("line", F.lit(f"(?=(.{{{WIDTH}}}))(?:[a-z]++[^a-z]?|.)"), F.lit(1))
+    some = lines.select("doc_id", "line_no", "line", digest(F.col("line")).alias("id"), begins.alias("begins"))
     # sort_array sorts longs in place, array_sort by a comparator that costs twice the rest
-    signed = lines.select("doc_id", "line_no", digest(F.col("line")).alias("id"), F.slice(F.sort_array(hashed(F.col("line"))), 1, DEPTH).alias("sig"))
-    keys = F.array(*[F.xxhash64(*[F.get("sig", F.lit(i + k)) for k in range(BAND)]) for i in range(DEPTH - BAND + 1)])
-    return signed.select(*place, F.when(F.col("id").isNotNull(), F.slice(keys, F.lit(1), F.greatest(F.size("sig") - (BAND - 1), F.lit(1)))).alias("keys"))
+    least = lambda x: F.slice(F.sort_array(F.array_distinct(F.transform(x, lambda y: F.xxhash64(y)))), 1, DEPTH)
+    return some.select(
+        "doc_id", "line_no", "id", F.when(F.size("begins") >= FEW, least(F.col("begins"))).alias("sig_w"),
+        F.when(F.size("begins") < 2 * FEW, least(shingles(F.col("line")))).alias("sig_a"),
+    )
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """One row for each different line of bands(): uid (a number of the stored table), id, doc_id and line_no of its first place, keys."""
-    once = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("keys").alias("keys"))
-    return once.select("id", "first.doc_id", "first.line_no", "keys", F.monotonically_increasing_id().alias("uid"))
+    """One row for each different line of bands(): uid (a number of the stored table), id, doc_id and line_no of its first place, signatures."""
+    once = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.first(c).alias(c) for c in ("sig_w", "sig_a")])
+    return once.select("id", "first.doc_id", "first.line_no", "sig_w", "sig_a", F.monotonically_increasing_id().alias("uid"))
+
+
+def _keys(sig: str) -> Column:
+    """Band keys of a signature, none where it is null."""
+    runs = F.array(*[F.xxhash64(F.lit(sig), *[F.get(sig, F.lit(i + k)) for k in range(BAND)]) for i in range(DEPTH - BAND + 1)])
+    return F.coalesce(F.slice(runs, F.lit(1), F.greatest(F.size(sig) - (BAND - 1), F.lit(1))), F.array().cast("array<bigint>"))
 
 
 def _posted(classes: DataFrame) -> DataFrame:
-    return classes.select("uid", F.explode(F.array_distinct("keys")).alias("key"))
+    return classes.select("uid", F.explode(F.array_distinct(F.concat(_keys("sig_w"), _keys("sig_a")))).alias("key"))
 
 
-def shared_bands(classes: DataFrame) -> DataFrame:
-    """key, n, lo, hi, x of each band of two or more lines: their number, least, greatest and exclusive or of uids."""
-    band = _posted(classes).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.bit_xor("uid").alias("x"))
-    return keep(band.where("n > 1"), "line-bands")
+def _pair(a, b) -> Column:
+    return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
-def candidates(classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """a, b: uids of different lines that share a band of at most CROWD lines, or are neighbours in a larger one.
+def shared_bands(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, n, lo, hi, x of each band of two or three lines: least, greatest and exclusive or of their uids;
+    uid, key, n of the lines of larger bands).
 
-    Most bands hold a line or two: their pairs come from one aggregation of uids by key, those of three lines
-    from the exclusive or of the three. Only the lines of larger bands are looked up again; what shares a band
-    of more than CROWD lines without being neighbours in one of four random orders is left to crowded().
+    Most bands hold one line and end in the aggregation; only lines of larger bands are looked up again.
     """
-    mid = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
-    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    lo, hi = F.col("lo"), F.col("hi")
-    small = shared.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, mid), pair(lo, hi), pair(mid, hi)))).alias("p")).select("p.a", "p.b")
-
+    band = _posted(classes).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.bit_xor("uid").alias("x"))
+    shared = keep(band.where("n > 1"), "line-bands")
     large = shared.where("n > 3").select("key", "n")
-    rows = _among(_posted(classes), large, F.col("key")).join(large, "key")
-    order = Window.partitionBy("key").orderBy(F.xxhash64("uid", F.col("key").bitwiseAND(F.lit(3))), "uid")
-    before = F.collect_list("uid").over(order.rowsBetween(1 - CROWD, -1))
-    met = rows.select("uid", "n", before.alias("before"))
-    met = met.select(
-        "uid", F.explode(F.when((F.col("n") <= CROWD) | (F.size("before") == 0), F.col("before")).otherwise(F.array(F.element_at("before", -1)))).alias("other")
-    )
-    return small.union(met.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b"))).distinct()
+    return shared.where("n <= 3"), keep(_among(_posted(classes), large, F.col("key")).join(large, "key").select("uid", "key", "n"), "line-crowds")
 
 
-def crowded(lines: DataFrame, classes: DataFrame, shared: DataFrame, comp: DataFrame, percent: int = PERCENT) -> DataFrame:
+def candidates(small: DataFrame, large: DataFrame) -> DataFrame:
+    """a, b: all pairs of bands of two or three lines; in larger ones each line and the one whose bands are the largest."""
+    lo, hi = F.col("lo"), F.col("hi")
+    mid = F.col("x").bitwiseXOR(lo).bitwiseXOR(hi)
+    two_or_three = small.select(F.explode(F.when(F.col("n") == 2, F.array(_pair(lo, hi))).otherwise(F.array(_pair(lo, mid), _pair(lo, hi), _pair(mid, hi)))).alias("p"))
+    central = large.groupBy("uid").agg(F.sum("n").alias("c"))
+    hubs = large.join(central, "uid").groupBy("key").agg(F.max_by("uid", F.struct("c", "uid")).alias("hub"))
+    star = large.join(hubs, "key").where("uid <> hub").select(_pair(F.col("uid"), F.col("hub")).alias("p"))
+    return two_or_three.union(star).select("p.a", "p.b").distinct()
+
+
+def _mixed(large: DataFrame, comp: DataFrame) -> DataFrame:
+    """uid, key, n, comp of the lines of bands that hold different components; comp (uid, comp)."""
+    placed = large.join(comp, "uid", "left").select("uid", "key", "n", F.coalesce("comp", "uid").alias("comp"))
+    keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    return placed.join(keys, "key")
+
+
+def across(classes: DataFrame, mixed: DataFrame) -> DataFrame:
+    """a, b: pairs of different components of a band, all of at most CROWD lines, neighbours by signature of more."""
+    few = mixed.where(f"n <= {CROWD}").select("key", "uid", "comp")
+    every = few.join(few.select("key", F.col("uid").alias("other"), F.col("comp").alias("other_comp")), "key").where("comp < other_comp").select(_pair(F.col("uid"), F.col("other")).alias("p"))
+    # one line of each component stands for it among its band's
+    rows = mixed.where(f"n > {CROWD}").groupBy("key", "comp").agg(F.min("uid").alias("uid"))
+    rows = rows.join(classes.select("uid", F.coalesce("sig_w", "sig_a").alias("sig")), "uid")
+    before = F.collect_list("uid").over(Window.partitionBy("key").orderBy("sig", "uid").rowsBetween(-NEAR, -1))
+    near = rows.select("uid", before.alias("before")).select("uid", F.explode("before").alias("other")).select(_pair(F.col("uid"), F.col("other")).alias("p"))
+    return every.union(near).select("p.a", "p.b").distinct()
+
+
+def crowded(lines: DataFrame, classes: DataFrame, mixed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: the pairs of lines of bands of more than CROWD lines that can be links and lie in different components.
 
-    Similar lines share one of the first shingles in any common order (prefix filter), so no link is lost; the
-    order is by frequency among these lines. comp (uid, comp): components of the links found so far.
+    Similar lines share one of the first shingles in any common order (prefix filter), and the first that they share
+    leaves enough after it in both (position filter), so no link is lost; the order is by frequency among these lines.
     """
-    big = shared.where(f"n > {CROWD}").select("key")
-    placed = _among(_posted(classes), big, F.col("key")).join(big, "key").join(comp, "uid", "left").select("uid", "key", F.coalesce("comp", "uid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    few = keep(placed.join(mixed, "key").select("uid", "comp").distinct(), "line-crowds")
+    few = keep(mixed.where(f"n > {CROWD}").select("uid", "comp").distinct(), "line-crowds")
     sets = _texts(lines, classes, few.select("uid")).select("uid", hashed(F.col("line")).alias("sh"))
     flat = sets.select("uid", F.size("sh").alias("n"), F.explode("sh").alias("h"))
     ranked = flat.join(flat.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
     ranked = ranked.select("uid", "n", "h", F.row_number().over(Window.partitionBy("uid").orderBy("df", "h")).alias("r"))
-    prefix = keep(ranked.where(f"r <= n - ({percent} * n + 99) div 100 + 1").join(few, "uid").select("uid", "comp", "n", "h"), "line-prefixes")
-    other = prefix.select("h", *[F.col(c).alias(f"other_{c}") for c in ("uid", "comp", "n")])
-    met = prefix.join(other, "h").where(f"uid < other_uid and comp <> other_comp and 100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
+    prefix = keep(ranked.where(f"r <= n - ({percent} * n + 99) div 100 + 1").join(few, "uid").select("uid", "comp", "n", "h", "r"), "line-prefixes")
+    other = prefix.select("h", *[F.col(c).alias(f"other_{c}") for c in ("uid", "comp", "n", "r")])
+    met = prefix.join(other, "h").where(
+        f"uid < other_uid and comp <> other_comp and 100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
+        f" and {100 + percent} * (1 + least(n - r, other_n - other_r)) >= {percent} * (n + other_n)"
+    )
     return met.select(F.col("uid").alias("a"), F.col("other_uid").alias("b")).distinct()
 
 
@@ -137,9 +171,16 @@ def _texts(lines: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def links(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose lines have exact Jaccard similarity of percent or more over their shingles."""
-    texts = _texts(lines, classes, pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
-    both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("uid").alias("b"), F.col("line").alias("t")), "b")
+    """The pairs (different a, b) whose lines have exact Jaccard similarity of percent or more over their shingles.
+
+    Pairs whose signatures of a kind agree in fewer than SOME of DEPTH places are far below it and go unread.
+    """
+    sigs = lambda uid, w, a: classes.select(F.col("uid").alias(uid), F.col("sig_w").alias(w), F.col("sig_a").alias(a))
+    agree = lambda x, y: F.coalesce(DEPTH * F.size(F.array_intersect(x, y)) >= SOME * F.least(F.size(x), F.size(y)), F.lit(False))
+    close = pairs.join(sigs("a", "aw", "aa"), "a").join(sigs("b", "bw", "ba"), "b").where(agree("aw", "bw") | agree("aa", "ba"))
+    close = keep(close.select("a", "b"), "line-close")
+    texts = _texts(lines, classes, close.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
+    both = close.join(texts.select(F.col("uid").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("uid").alias("b"), F.col("line").alias("t")), "b")
     sets = both.select("a", "b", *[hashed(F.col(c)).alias(n) for c, n in (("s", "x"), ("t", "y"))])
     near = sets.where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
     common = F.size(F.array_intersect("x", "y"))
@@ -159,14 +200,14 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = keep(bands(lines), "lines")
     classes = keep(classes_of(rows), "line-classes")
     rows = rows.select("doc_id", "line_no", "id")
-    shared = shared_bands(classes)
-    pairs = keep(candidates(classes, shared), "line-pairs")
-    linked = keep(links(lines, classes, pairs, percent), "line-links")
+    small, large = shared_bands(classes)
+    linked = keep(links(lines, classes, keep(candidates(small, large), "line-pairs"), percent), "line-links")
     comp = components(linked).withColumnRenamed("id", "uid")
-    more = keep(crowded(lines, classes, shared, comp, percent), "line-pairs")
-    if more.limit(1).count():
-        again = keep(links(lines, classes, more, percent), "line-links")
-        comp = components(linked.union(again)).withColumnRenamed("id", "uid")
+    for more in (lambda mixed: across(classes, mixed), lambda mixed: crowded(lines, classes, mixed, percent)):
+        pairs = keep(more(keep(_mixed(large, comp), "line-mixed")), "line-pairs")
+        if pairs.limit(1).count():
+            linked = linked.union(keep(links(lines, classes, pairs, percent), "line-links"))
+            comp = components(linked).withColumnRenamed("id", "uid")
     first = F.struct("doc_id", "line_no")
     named = classes.select("uid", "id", first.alias("first")).join(comp, "uid", "left").select("id", "first", F.coalesce("comp", "uid").alias("comp"))
     stay = named.groupBy("comp").agg(F.min("first").alias("stay"))
