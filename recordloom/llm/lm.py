@@ -31,12 +31,12 @@ LEAST = 3
 """A context seen less often is never kept."""
 HOT = 1 << 18
 """Words whose counts every task has at hand (4 MB); counts of other words are joined."""
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 """Mean number of training words for one bucket; each bucket is counted and scored in one task."""
 BUCKETS_A_TASK = 8
 ROWS = 36
 """Bits of a text's number in its task, in its row number."""
-EMIT = 2_000_000
+EMIT = 1 << 20
 """Places that a reading task packs at once."""
 NONE = (1 << 24) - 1
 """In packed places, stands for no word before the text's first."""
@@ -51,19 +51,46 @@ class Hot:
     def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, kinds: int, size: int = BUCKET) -> None:
         order = np.lexsort((words, -counts))
         self.words, self.counts = words[order], counts[order]
-        by = np.argsort(self.words)
-        self.sorted, self.rank_of = self.words[by], by.astype(np.int64)
+        # two tables from bits of a word to a rank with these bits; words that lost both places are searched for
+        self.bits = _U(max(1, int(4 * len(self.words)).bit_length()))
+        self.tables, left = [], np.arange(len(self.words))
+        for turn in range(2):
+            table = np.full(1 << int(self.bits), -1, np.int32)
+            slot = self._slot(self.words[left], turn)
+            table[slot] = left
+            self.tables.append(table)
+            left = left[table[slot] != left]
+        by = np.argsort(self.words[left])
+        self.sorted, self.rank_of = self.words[left][by], left[by]
         self.tokens, self.kinds = tokens, kinds
         self.log_total = np.log10(tokens + kinds + 1)
         # buckets that a word's places are split into: about size / 2 places in each
         self.splits = np.where(2 * self.counts > size, -(-2 * self.counts // size), 1).astype(_U)
+        self.n_split = int((self.splits > 1).sum())  # the first ranks
+
+    def _slot(self, w: np.ndarray, turn: int) -> np.ndarray:
+        return ((w >> (self.bits * _U(turn))) & _U((1 << int(self.bits)) - 1)).astype(np.int64)
 
     def ranks(self, w: np.ndarray) -> np.ndarray:
         """Rank of each word, -1 where it is not among them."""
-        if not len(self.sorted):
-            return np.full(len(w), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, w), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == w, self.rank_of[at], -1)
+        out = np.full(len(w), -1, np.int32)
+        if not len(self.words):
+            return out
+        open_ = None
+        for turn, table in enumerate(self.tables):
+            x = w if open_ is None else w[open_]
+            r = table[self._slot(x, turn)]
+            r[self.words[np.maximum(r, 0)] != x] = -1
+            if open_ is None:
+                out, open_ = r, np.flatnonzero(r < 0)
+            else:
+                out[open_] = r
+                open_ = open_[r < 0]
+        if len(self.sorted) and len(open_):
+            at = np.minimum(np.searchsorted(self.sorted, w[open_]), len(self.sorted) - 1)
+            hit = self.sorted[at] == w[open_]
+            out[open_[hit]] = self.rank_of[at[hit]]
+        return out
 
 
 def _sequences(texts: pa.Array):
@@ -180,20 +207,32 @@ def _read(shared, buckets: int):
 
         def emit():
             *before, nxt, code = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             others_, place = np.unique(np.concatenate(others), return_inverse=True)
+            others.clear()
             # words outside the hot table get one number for each different word; -1 is no word
-            number = lambda w: np.where(w >= many_hot, many_hot + place[np.maximum(w - many_hot, 0)], w) if len(place) else w
-            before, nxt = [number(w) for w in before], number(nxt)
-            name = lambda w: np.where(w >= many_hot, others_[np.maximum(w - many_hot, 0)], np.maximum(w, 0).astype(_U)) if len(others_) else np.maximum(w, 0).astype(_U)
-            bucket = _home(hot, before[0], (name(before[0]), name(before[1])), buckets)
-            order = np.lexsort((*(w for w in (nxt, *before[::-1])), bucket))
-            before, nxt, code, bucket = [w[order] for w in before], nxt[order], code[order], bucket[order]
+            if len(place):
+                place = place.astype(np.int32)
+                for w in (*before, nxt):
+                    far = np.flatnonzero(w >= many_hot)
+                    w[far] = many_hot + place[w[far] - many_hot]
+            names = np.concatenate([np.arange(many_hot, dtype=_U), others_])
+            name = lambda w: names[w] if len(names) else w.astype(_U)
+            bucket = _home(hot, before[0], (name(before[0]), name(np.maximum(before[1], 0))), buckets).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+            low = [w.astype(_U) & _U(NONE) for w in before]
+            order = np.argsort(low[0] << _U(40) | low[1] << _U(16) | low[2] >> _U(8))
+            del low
+            order = order[np.argsort(bucket[order], kind="stable")]
+            before, nxt, code, bucket = [w[order] for w in before], nxt[order], code[order], bucket[order].astype(np.int64)
             one = lambda x: pa.array([int(x)], pa.int64())
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, z in zip(first, np.append(first[1:], len(bucket)), strict=True):
                 columns = [w[a:z] for w in (*before, nxt)]
-                own = np.unique(np.concatenate([w[w >= many_hot] for w in columns])).astype(np.int64)
-                columns = [np.where(w >= many_hot, many_hot + np.searchsorted(own, w), np.where(w < 0, NONE, w)) for w in columns]
+                own = np.unique(np.concatenate([w[w >= many_hot] for w in columns]))
+                for w in columns:
+                    far = np.flatnonzero(w >= many_hot)
+                    w[far] = many_hot + np.searchsorted(own, w[far])
+                    w[w < 0] = NONE
                 listed = others_[own - many_hot] if len(own) else np.zeros(0, _U)
                 body = _press(listed, *(_planes(w, 3) for w in columns), _planes(code[a:z], 5))
                 yield _batch(1, _READ, bucket=one(bucket[a]), part=one(part), n=one(z - a), body=pa.array([body], pa.binary()))
@@ -215,7 +254,7 @@ def _read(shared, buckets: int):
                     base_hot=pa.array(np.bincount(owner[near], weights=known_log[ranks[near]], minlength=hi - lo).astype(np.float64)), tail=lists,
                     bucket=pa.array(np.full(hi - lo, -1 - part)),
                 )
-                words = ranks.astype(np.int32)
+                words = ranks
                 words[tails] = many_hot + seen + np.arange(len(tails))
                 others.append(seq[tails])
                 seen += len(tails)
@@ -227,7 +266,7 @@ def _read(shared, buckets: int):
                 row += hi - lo
                 if many > EMIT:
                     yield from emit()
-                    held, others, many, seen = [], [], 0, 0
+                    many = seen = 0
         if many:
             yield from emit()
 
@@ -248,24 +287,42 @@ def _needs(shared, buckets: int):
         def batch(bucket, w, nxt, c):
             return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in (bucket, w, nxt.view(np.int64), c)], ["bucket", "w", "nxt", "c"])
 
+        def fold():
+            bucket, w, nxt, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, first = _groups(mix(_pair(bucket.astype(_U), nxt) + w.astype(_U)))
+            take = order[first]
+            return bucket[take], w[take], nxt[take], np.add.reduceat(c[order], first)
+
+        held, many = [], 0
         for b in batches:
             out = b.column("held_out").to_numpy(zero_copy_only=False)
             for lo, hi, seq, bounds in _sequences(b.column("text")):
                 ranks = hot.ranks(seq)
-                words, name = np.where(ranks >= 0, ranks, many_hot), np.where(ranks >= 0, ranks.astype(_U), seq)
-                place = np.arange(len(seq)) - np.repeat(bounds[:-1], np.diff(bounds))
-                at = np.flatnonzero((place > 0) & (ranks < 0))
+                inner = np.ones(len(seq), bool)  # places with a word before them
+                inner[bounds[:-1]] = False
+                at = np.flatnonzero(inner & (ranks < 0))
                 if len(at):
-                    second = np.where(place[at] >= 2, name[at - 2], _U(0))
-                    bucket = _home(hot, words[at - 1], (name[at - 1], second), buckets)
-                    _, first = np.unique(mix(seq[at]) + bucket.astype(_U), return_index=True)
-                    yield batch(bucket[first], np.full(len(first), -1), seq[at[first]], np.zeros(len(first), np.int64))
-                learn = np.repeat(~out[lo:hi], np.diff(bounds)) & (place > 0)
-                learn[1:] &= _splits(hot, words[:-1]) > 1
+                    name = lambda k: np.where(ranks[k] >= 0, ranks[k].astype(_U), seq[k])
+                    second = np.where(inner[at - 1], name(at - 2), _U(0))
+                    bucket = _home(hot, np.where(ranks[at - 1] >= 0, ranks[at - 1], many_hot), (name(at - 1), second), buckets)
+                    held.append((bucket, np.full(len(at), -1), seq[at], np.zeros(len(at), np.int64)))
+                learn = np.repeat(~out[lo:hi], np.diff(bounds)) & inner
+                learn[1:] &= (ranks[:-1] >= 0) & (ranks[:-1] < hot.n_split)
+                learn[0] = False
                 at = np.flatnonzero(learn)
                 if len(at):
-                    _, first, c = np.unique(_pair(name[at - 1], name[at]), return_index=True, return_counts=True)
-                    yield batch(np.full(len(first), -1), words[at[first] - 1], name[at[first]], c)
+                    held.append((np.full(len(at), -1), ranks[at - 1].astype(np.int64), np.where(ranks[at] >= 0, ranks[at].astype(_U), seq[at]), np.ones(len(at), np.int64)))
+                many += sum(len(x[0]) for x in held[-2:])
+                if many > EMIT:
+                    held = [fold()]
+                    many = len(held[0][0])
+                    if many > EMIT // 2:
+                        yield batch(*held[0])
+                        held, many = [], 0
+        if held:
+            done = fold()
+            for k in range(0, len(done[0]), 65536):
+                yield batch(*(x[k : k + 65536] for x in done))
 
     return run
 
@@ -381,10 +438,14 @@ class Tree:
         return p
 
 
+def _together(held: list[tuple]) -> tuple:
+    before, there = ([np.concatenate(x) for x in zip(*(h[k] for h in held), strict=True)] for k in (0, 1))
+    return before, there, *(np.concatenate([h[k] for h in held]) for k in (2, 3))
+
+
 def _merged(held: list[tuple]) -> tuple:
     """Places with counts, those that are alike as one: words before, whether there, next word, count."""
-    before, there = ([np.concatenate(x) for x in zip(*(h[k] for h in held), strict=True)] for k in (0, 1))
-    nxt, c = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+    before, there, nxt, c = _together(held)
     order, first = _groups(_pair(_chain(before)[-1], nxt))
     take = order[first]
     return [w[take] for w in before], [x[take] for x in there], nxt[take], np.add.reduceat(c[order], first) if len(first) else c
@@ -409,27 +470,32 @@ def _score(shared, size: int):
         w, nxt, c, known = (extra.column(x).to_numpy() for x in ("w", "nxt", "c", "known"))
         far, whole = known >= 0, w >= 0
         roots = Roots(hot, nxt[far].view(_U), known[far])
-        held, many = [], 0
+        few = sum(n for _, n, _ in rows) <= 2 * size
+        held, open_, many = [], [], 0
         for _, n, body in rows:
-            before, there, word, code = _unpack(body, n, hot)
-            learn = code & 1 == 0
-            held.append(([x[learn] for x in before], [x[learn] for x in there], word[learn], np.ones(int(learn.sum()), np.int64)))
-            many += len(held[-1][2])
+            places = _unpack(body, n, hot)
+            if few:
+                open_.append(places)
+            before, there, word, code = places
+            learn = np.flatnonzero(code & 1 == 0)
+            held.append(([x[learn] for x in before], [x[learn] for x in there], word[learn], np.ones(len(learn), np.int64)))
+            many += len(learn)
             if many > 2 * size:
                 held = [_merged(held)]
                 many = len(held[0][2])
         out = []
         if held:
-            tree = Tree(*_merged(held), (w[whole].astype(_U), nxt[whole].view(_U), c[whole]), roots)
+            tree = Tree(*_together(held), (w[whole].astype(_U), nxt[whole].view(_U), c[whole]), roots)
             del held
-        for part, n, body in rows:
-            before, there, word, code = _unpack(body, n, hot)
+        for k, (part, n, body) in enumerate(rows):
+            before, there, word, code = open_[k] if few else _unpack(body, n, hot)
             p0 = roots(word)
-            value = np.log10(tree.probability(_chain(before), there, word, p0) / p0)
-            at = np.flatnonzero(value)
+            p = tree.probability(_chain(before), there, word, p0)
+            at = np.flatnonzero(p != p0)
             if len(at):
+                value = np.log10(p[at] / p0[at])
                 texts, own = np.unique(code[at] >> 1, return_inverse=True)
-                sums = np.bincount(own, weights=value[at]).astype("<f4")
+                sums = np.bincount(own, weights=value).astype("<f4")
                 out.append({"part": part, "n": len(texts), "body": _press(_planes(np.diff(texts, prepend=0), 5), sums)})
         return pa.Table.from_pylist(out, schema=_FOUND)
 
