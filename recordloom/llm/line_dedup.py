@@ -9,8 +9,8 @@ whose signatures agree in SOME or more of DEPTH places are compared by the exact
 their shingles, links are joined by distributed union-find, and one line of each component stays.
 
 In a band of many lines each is first compared with the band's most central one. After the union-find, lines of
-different components of a band meet: all of them in bands of at most CROWD lines; in larger ones the
-neighbours in the order of their signatures, and then all that remain different by an exact prefix join.
+different components of a band meet: all of them in bands of at most CROWD lines; in larger ones each component and the
+HUBS largest, and then all that remain different by an exact prefix join.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ BAND = 3
 FEW = 12
 SOME = 5
 CROWD = 16
-NEAR = 3
-"""Lines before it that a line of a larger band is compared with, in the order of signatures."""
+HUBS = 8
+"""Components of a larger band that its others are compared with before the join."""
 BITS = 23
 
 
@@ -80,7 +80,8 @@ def classes_of(rows: DataFrame) -> DataFrame:
 def _keys(sig: str) -> Column:
     """Band keys of a signature, none where it is null."""
     runs = F.array(*[F.xxhash64(F.lit(sig), *[F.get(sig, F.lit(i + k)) for k in range(BAND)]) for i in range(DEPTH - BAND + 1)])
-    return F.coalesce(F.slice(runs, F.lit(1), F.greatest(F.size(sig) - (BAND - 1), F.lit(1))), F.array().cast("array<bigint>"))
+    there = F.slice(runs, F.lit(1), F.greatest(F.size(sig) - (BAND - 1), F.lit(1)))
+    return F.when(F.col(sig).isNotNull(), there).otherwise(F.array().cast("array<bigint>"))
 
 
 def _posted(classes: DataFrame) -> DataFrame:
@@ -121,34 +122,40 @@ def _mixed(large: DataFrame, comp: DataFrame) -> DataFrame:
     return placed.join(keys, "key")
 
 
-def across(classes: DataFrame, mixed: DataFrame) -> DataFrame:
-    """a, b: pairs of different components of a band, all of at most CROWD lines, neighbours by signature of more."""
+def across(mixed: DataFrame) -> DataFrame:
+    """a, b: pairs of different components of a band: all of at most CROWD lines; of more, the most central line of
+    each component with those of the HUBS components that have the most lines there."""
     few = mixed.where(f"n <= {CROWD}").select("key", "uid", "comp")
     every = few.join(few.select("key", F.col("uid").alias("other"), F.col("comp").alias("other_comp")), "key").where("comp < other_comp").select(_pair(F.col("uid"), F.col("other")).alias("p"))
-    # one line of each component stands for it among its band's
-    rows = mixed.where(f"n > {CROWD}").groupBy("key", "comp").agg(F.min("uid").alias("uid"))
-    rows = rows.join(classes.select("uid", F.coalesce("sig_w", "sig_a").alias("sig")), "uid")
-    before = F.collect_list("uid").over(Window.partitionBy("key").orderBy("sig", "uid").rowsBetween(-NEAR, -1))
-    near = rows.select("uid", before.alias("before")).select("uid", F.explode("before").alias("other")).select(_pair(F.col("uid"), F.col("other")).alias("p"))
-    return every.union(near).select("p.a", "p.b").distinct()
+    many = mixed.where(f"n > {CROWD}")
+    central = many.groupBy("uid").agg(F.sum("n").alias("c"))
+    rows = many.join(central, "uid").groupBy("key", "comp").agg(F.max_by("uid", F.struct("c", "uid")).alias("uid"), F.count(F.lit(1)).alias("m"))
+    order = Window.partitionBy("key").orderBy(F.desc("m"), "comp")
+    hubs = rows.withColumn("r", F.row_number().over(order)).where(f"r <= {HUBS}").select("key", F.col("uid").alias("hub"))
+    star = rows.join(hubs, "key").where("uid <> hub").select(_pair(F.col("uid"), F.col("hub")).alias("p"))
+    return every.union(star).select("p.a", "p.b").distinct()
 
 
 def crowded(lines: DataFrame, classes: DataFrame, mixed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: the pairs of lines of bands of more than CROWD lines that can be links and lie in different components.
 
     Similar lines share one of the first shingles in any common order (prefix filter), and the first that they share
-    leaves enough after it in both (position filter), so no link is lost; the order is by frequency among these lines.
+    leaves enough after it in both (position filter), so no link is lost; the order is by frequency among these
+    lines.
     """
     few = keep(mixed.where(f"n > {CROWD}").select("uid", "comp").distinct(), "line-crowds")
-    sets = _texts(lines, classes, few.select("uid")).select("uid", hashed(F.col("line")).alias("sh"))
-    flat = sets.select("uid", F.size("sh").alias("n"), F.explode("sh").alias("h"))
-    ranked = flat.join(flat.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
-    ranked = ranked.select("uid", "n", "h", F.row_number().over(Window.partitionBy("uid").orderBy("df", "h")).alias("r"))
-    prefix = keep(ranked.where(f"r <= n - ({percent} * n + 99) div 100 + 1").join(few, "uid").select("uid", "comp", "n", "h", "r"), "line-prefixes")
+    sets = keep(_texts(lines, classes, few.select("uid")).select("uid", hashed(F.col("line")).alias("sh")).join(few, "uid"), "line-sets")
+    flat = sets.select("uid", "comp", F.size("sh").alias("n"), F.explode("sh").alias("h"))
+    often = flat.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # shingles of one line only come first in the order and meet nothing
+    ranked = flat.join(often, "h").select("uid", "comp", "n", "h", "df")
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("uid"))
+    ranked = ranked.select("uid", "comp", "n", "h", (alone + F.row_number().over(Window.partitionBy("uid").orderBy("df", "h")) - 1).alias("r"))
+    prefix = keep(ranked.where(f"r <= n - ({percent} * n + 99) div 100"), "line-prefixes")
     other = prefix.select("h", *[F.col(c).alias(f"other_{c}") for c in ("uid", "comp", "n", "r")])
     met = prefix.join(other, "h").where(
         f"uid < other_uid and comp <> other_comp and 100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
-        f" and {100 + percent} * (1 + least(n - r, other_n - other_r)) >= {percent} * (n + other_n)"
+        f" and {100 + percent} * least(n - r, other_n - other_r) >= {percent} * (n + other_n)"
     )
     return met.select(F.col("uid").alias("a"), F.col("other_uid").alias("b")).distinct()
 
@@ -203,7 +210,7 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     small, large = shared_bands(classes)
     linked = keep(links(lines, classes, keep(candidates(small, large), "line-pairs"), percent), "line-links")
     comp = components(linked).withColumnRenamed("id", "uid")
-    for more in (lambda mixed: across(classes, mixed), lambda mixed: crowded(lines, classes, mixed, percent)):
+    for more in (lambda mixed: across(mixed), lambda mixed: crowded(lines, classes, mixed, percent)):
         pairs = keep(more(keep(_mixed(large, comp), "line-mixed")), "line-pairs")
         if pairs.limit(1).count():
             linked = linked.union(keep(links(lines, classes, pairs, percent), "line-links"))
