@@ -221,6 +221,122 @@ _WORDS = f"""{ENT},
 pd AS (SELECT country, entity_id AS id, {words('addr_words')} AS w1 FROM ent),
 g AS (SELECT country, id, unnest(list_concat(w1, list_transform(range(1, len(w1)), lambda i: w1[i] || ' ' || w1[i + 1]))) AS term FROM pd),{_TFIDF}"""
 
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two columns of at most 120 characters, a row of its table in the bits of a number."""
+    full = f"((1::HUGEINT << length({a})::INTEGER) - 1)"
+    places = f"list_transform(string_split({b}, ''), lambda ch: coalesce(list_sum(list_transform(list_filter(range(1, length({a}) + 1), lambda i: {a}[i] = ch), lambda i: 1::HUGEINT << (i - 1)::INTEGER)), 0)::HUGEINT)"
+    return f"(length({a}) - bit_count(list_reduce({places}, lambda w, m: ((w + (w & m)) | (w - (w & m))) & {full}, {full})))"
+
+
+def indel(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' AND {b} = '' THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 2 * {lcs(a, b)} / (length({a}) + length({b})) END"
+
+
+_own = lambda x, y: f"array_to_string(list_sort(list_filter({x}, lambda q: NOT list_contains({y}, q))), ' ')"
+# similarities of each different pair of names; windows of the longer name, cut at the ends
+FUZZY = f"""
+fz0 AS (SELECT DISTINCT l.name_full AS fa, r.name_full AS fb, l.name_core AS ca, r.name_core AS cb FROM pe),
+ts0 AS (SELECT DISTINCT fa, fb, list_distinct({words('fa')}) AS x, list_distinct({words('fb')}) AS y FROM fz0),
+ts1 AS (SELECT fa, fb, len(x) AS nx, len(y) AS ny, coalesce(array_to_string(list_sort(list_intersect(x, y)), ' '), '') AS s, coalesce({_own('x', 'y')}, '') AS ox, coalesce({_own('y', 'x')}, '') AS oy FROM ts0),
+ts2 AS (SELECT *, trim(s || ' ' || ox) AS p, trim(s || ' ' || oy) AS q FROM ts1),
+ts AS (SELECT fa, fb, CASE WHEN nx = 0 OR ny = 0 THEN 0.0 WHEN s <> '' AND (ox = '' OR oy = '') THEN 1.0
+  ELSE greatest({indel('p', 'q')}, CASE WHEN s <> '' THEN greatest(2 * length(s) / (length(s) + length(p)), 2 * length(s) / (length(s) + length(q))) ELSE 0 END) END AS rf_token_set FROM ts2),
+pt0 AS (SELECT DISTINCT ca, cb FROM fz0),
+pt1 AS (SELECT ca, cb, CASE WHEN length(ca) <= length(cb) THEN ca ELSE cb END AS sh, CASE WHEN length(ca) <= length(cb) THEN cb ELSE ca END AS lo FROM pt0
+  UNION ALL SELECT ca, cb, cb, ca FROM pt0 WHERE length(ca) = length(cb)),
+pt2 AS (SELECT DISTINCT ca, cb, sh, unnest(list_transform(range(1 - length(sh), length(lo)), lambda i: substr(lo, greatest(i, 0) + 1, i + length(sh) - greatest(i, 0)))) AS win FROM pt1 WHERE sh <> '' AND lo <> ''),
+pt3 AS (SELECT ca, cb, max({indel('sh', 'win')}) AS best FROM pt2 GROUP BY ca, cb),
+pt AS (SELECT ca, cb, coalesce(best, CASE WHEN ca = '' AND cb = '' THEN 1.0 ELSE 0.0 END) AS rf_partial FROM pt0 LEFT JOIN pt3 USING (ca, cb))"""
+_jaro = "CASE WHEN l.name_core = r.name_core THEN 1.0 WHEN l.name_core = '' OR r.name_core = '' THEN 0.0 ELSE jaro_winkler_similarity(l.name_core, r.name_core) END"
+_fuzzy_join = "JOIN ts ON ts.fa = l.name_full AND ts.fb = r.name_full JOIN pt ON pt.ca = l.name_core AND pt.cb = r.name_core"
+
+
+def char_grams(t: str, ns: tuple[int, ...], by_word: bool = True) -> str:
+    """Terms of a column that is padded already."""
+    out = []
+    for n in ns:
+        inner = "true" if not by_word or n == 1 else "s <> '  '" if n == 2 else f"NOT contains(substr(s, 2, {n - 2}), ' ')"
+        out.append(f"list_transform(list_filter(list_transform(range(1, length({t}) - {n - 2}), lambda i: substr({t}, i, {n})), lambda s: {inner}), lambda s: '{n}:' || s)")
+    return f"list_concat({', '.join(out)})"
+
+
+def _cosine_terms(name: str, one: str, two: str, ns: tuple[int, ...], by_word: bool = True) -> str:
+    t = f"CASE WHEN src = 'S1' THEN {one} ELSE {two} END"
+    if not ns:  # words, with pairs of neighbours where by_word
+        terms = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))" if by_word else "t"
+        return f"SELECT '{name}' AS f, country, id, unnest({terms}) AS term FROM (SELECT country, entity_id AS id, {words(t)} AS t FROM nd)"
+    body = f"array_to_string({words('u')}, '  ')" if by_word else "u"
+    padded = f"SELECT country, id, CASE WHEN u = '' THEN '' ELSE substr(' ' || {body} || ' ', 1, 256) END AS t FROM (SELECT country, entity_id AS id, {t} AS u FROM nd)"
+    return f"SELECT '{name}' AS f, country, id, unnest({char_grams('t', ns, by_word)}) AS term FROM ({padded})"
+
+
+_usual = (2, 3, 4)
+_cosines = {
+    "n_char": ("name_core", "name_core", _usual), "n_full_char": ("name_full", "name_full", _usual), "n_phon": ("name_phon", "name_phon", (1, 2, 3)),
+    "n_word": ("name_core", "name_core", (), False), "n_sorted": ("name_sorted", "name_sorted", (3,)),
+    "n_concat": ("name_concat", "CASE WHEN domain <> '' THEN domain ELSE name_concat END", (3,), False),
+    "a_char": ("addr_full", "addr_full", _usual), "a_word": ("addr_words", "addr_words", ()), "street_char": ("street", "street", _usual),
+    "n_distinct_char": ("name_distinct", "name_distinct", _usual),
+}
+_distinct = joined(f"list_filter(core, lambda x: NOT list_contains({words('street')}, x) AND NOT list_contains({words('locality')}, x))")
+COSINES = f"""
+nd AS (SELECT *, {_distinct} AS name_distinct FROM ent),
+g AS ({' UNION ALL '.join(_cosine_terms(n, *args) for n, args in _cosines.items())}),
+c AS (SELECT f, country, id, term, count(*) AS c FROM g GROUP BY ALL),
+d AS (SELECT f, country, term, count(*) AS df FROM c GROUP BY ALL),
+n AS (SELECT country, count(*) AS n FROM ent GROUP BY ALL),
+x AS (SELECT c.f, c.country, id, c.term, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM c JOIN d ON c.f = d.f AND c.country = d.country AND c.term = d.term JOIN n ON n.country = c.country),
+w AS (SELECT f, id, term, x / sqrt(sum(x * x) OVER (PARTITION BY f, id)) AS w FROM x),
+co AS (SELECT pr.id1, pr.id2, a.f, sum(a.w * b.w) AS s FROM pr JOIN w a ON a.id = pr.id1 JOIN w b ON b.id = pr.id2 AND b.f = a.f AND b.term = a.term GROUP BY 1, 2, 3),
+cw AS (SELECT pr.id1, pr.id2, {', '.join(f"coalesce(max(s) FILTER (f = '{n}'), 0.0) AS {n}" for n in _cosines)} FROM pr LEFT JOIN co USING (id1, id2) GROUP BY 1, 2)"""
+
+
+def _pair_features() -> str:
+    flag = lambda v: f"CAST({v} AS DOUBLE)"
+    out = {n: f"round(cw.{n}, 6)" for n in _cosines}
+    for name, column, kept in (
+        ("n", "name_core", "jac cont inter"), ("p", "name_phon", "jac cont"), ("a", "addr_words", "jac cont"), ("num", "addr_nums", "jac cont inter"),
+        ("street", "street", "jac cont"), ("loc", "locality", "jac"), ("n_distinct", "name_distinct", "jac"), ("lf", "legal", "jac"),
+    ):
+        got = dict(zip(("jac", "cont", "inter"), overlap(column)))
+        out |= {f"{name}_{k}": got[k] for k in kept.split()}
+    legal, native = "l.legal <> '' AND r.legal <> ''", r"'[\x{0900}-\x{0D7F}]'"
+    best = "greatest(cw.n_char, cw.n_phon, cw.n_concat)"
+    out |= {
+        "rf_token_set": "round(rf_token_set, 6)", "rf_partial": "round(rf_partial, 6)", "rf_jaro": f"round({_jaro}, 6)",
+        "house_eq": _known("l.house_no <> '' AND r.house_no <> ''", "l.house_no = r.house_no"), "house_dig_eq": _known(_both, "l.house_dig = r.house_dig"),
+        "house_suffix_eq": _known(_both, "right(l.house_dig, 2) = right(r.house_dig, 2)"), "house_len_diff": _known(_both, "abs(length(l.house_dig) - length(r.house_dig))"),
+        "house_lev": _known(_both, "levenshtein(l.house_dig, r.house_dig)"),
+        "house_logdiff": f"round({_known(_both, 'ln(1 + abs(CAST(substr(l.house_dig, 1, 9) AS BIGINT) - CAST(substr(r.house_dig, 1, 9) AS BIGINT)))')}, 6)",
+        "num_tok_lev": _known("l.num_tok <> '' AND r.num_tok <> ''", "levenshtein(l.num_tok, r.num_tok)"),
+        "addr_empty2": flag("trim(r.business_address) = ''"), "lf_eq": _known(legal, "l.legal = r.legal"),
+        "lf_conflict": flag(f"{legal} AND len(list_intersect({words('l.legal')}, {words('r.legal')})) = 0"), "lf_empty1": flag("l.legal = ''"), "lf_empty2": flag("r.legal = ''"),
+        "native2": flag(f"regexp_matches(r.business_name, {native})"), "addr_native2": flag(f"regexp_matches(r.business_address, {native})"),
+        "is_domain2": flag("r.is_domain"), "is_s3": flag("r.src = 'S3'"), "n_len1": flag("l.n_len"), "n_len2": flag("r.n_len"), "n_len_diff": flag("abs(l.n_len - r.n_len)"),
+        "dom_in_name": "CASE WHEN r.domain <> '' THEN CAST(contains(l.name_concat, r.domain) AS DOUBLE) ELSE -1.0 END", "n_first_eq": flag("l.first_tok = r.first_tok AND l.first_tok <> ''"),
+        **{f"{a}_{b}": "-1.0" for a in ("sim", "rank") for b in ("addr", "both", "name", "rev", "hop")}, "sim_key": "round(kc.sim, 6)", "rank_key": "kc.rank", "n_passes": "1",
+        "name_best": f"round({best}, 6)", "name_x_addr": f"round({best} * CASE WHEN trim(r.business_address) = '' THEN 0.5 ELSE cw.a_char END, 6)",
+    }
+    ctes = f"{RARE}, pr AS (SELECT country, id1, id2 FROM kc), {COSINES.strip()}, pe AS (SELECT pr.*, l, r FROM pr JOIN nd l ON l.entity_id = id1 JOIN nd r ON r.entity_id = id2)"
+    columns = ", ".join(f"CAST({v} AS DOUBLE) AS {n}" for n, v in out.items())
+    return with_(f"{ctes},{FUZZY}", f"SELECT pe.country, pe.id1, pe.id2, {columns} FROM pe JOIN cw ON cw.id1 = pe.id1 AND cw.id2 = pe.id2 JOIN kc ON kc.id1 = pe.id1 AND kc.id2 = pe.id2 {_fuzzy_join}")
+
+
+_SEARCH = f"""{ENT},
+pd AS (SELECT country, entity_id AS id, CASE WHEN addr_full = '' THEN '' ELSE substr(' ' || array_to_string({words('addr_full')}, '  ') || ' ', 1, 256) END AS t FROM ent),
+g AS (SELECT country, id, unnest({char_grams('t', (3,))}) AS term FROM pd),{_TFIDF},
+va AS (SELECT * FROM w WHERE id LIKE 'S1%'), vb AS (SELECT * FROM w WHERE id NOT LIKE 'S1%'),
+ra AS (SELECT country, term FROM vb GROUP BY ALL HAVING count(*) <= 40),
+ca AS (SELECT DISTINCT va.country, va.id AS id1, vb.id AS id2 FROM va JOIN ra ON va.country = ra.country AND va.term = ra.term JOIN vb ON vb.country = va.country AND vb.term = va.term),
+sm AS (SELECT ca.id1, ca.id2, sum(a.w * b.w) AS sim FROM ca JOIN va a ON a.id = ca.id1 JOIN vb b ON b.id = ca.id2 AND b.term = a.term GROUP BY 1, 2)"""
+_mean = "(" + " + ".join(overlap(c)[0] for c in ("name_core", "addr_words")) + ") / 2"
+_MATCHED = f"""{KPAIRS}, mp AS (SELECT id1, id2, round({_mean.replace(', 6)', ', 15)')}, 6) AS p FROM pe),
+mo AS (SELECT id1, id2 FROM (SELECT *, row_number() OVER (PARTITION BY id2 ORDER BY p DESC, id1) AS r FROM mp) WHERE r = 1 AND p >= 0.4)"""
+_PASSES = f"""{VECS}, {top('s1', 's2', 5, 'fw')}, {top('s2', 's1', 3, 'bw')}, {top('s2', 's2', 4, 'hp', 'AND id1 <> id2')},
+al AS (SELECT id1, id2, 'name' AS ps, rank, sim FROM fw UNION ALL SELECT id2, id1, 'rev', rank, sim FROM bw
+  UNION ALL SELECT fw.id1, hp.id2, 'hop', hp.rank, hp.sim FROM fw JOIN hp ON fw.id2 = hp.id1 WHERE fw.rank < 3)"""
+_pass_columns = ", ".join(f"round(max(sim) FILTER (ps = '{p}'), 6) AS sim_{p}, (min(rank) FILTER (ps = '{p}'))::INTEGER AS rank_{p}" for p in ("name", "rev", "hop"))
+
 ORACLES: dict[str, str] = {
     "norm_strip_accents": "SELECT doc_id, strip_accents(coalesce(text, '')) AS plain FROM documents",
     "norm_base_clean": f"SELECT doc_id, {clean(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS cleaned FROM documents",
@@ -275,6 +391,11 @@ SELECT id1, id2, """
   CAST(l.first_tok = r.first_tok AND l.first_tok <> '' AS DOUBLE) AS n_first_eq, CAST(r.src = 'S3' AS DOUBLE) AS is_s3, CAST(abs(l.n_len - r.n_len) AS DOUBLE) AS n_len_diff,
   {_known("l.legal <> '' AND r.legal <> ''", 'l.legal = r.legal')} AS lf_eq, CAST(l.legal = '' AS DOUBLE) AS lf_empty1 FROM pe""",
     ),
+    "pair_fuzzy": with_(f"{KPAIRS},{FUZZY}", f"SELECT id1, id2, round(rf_token_set, 6) AS rf_token_set, round(rf_partial, 6) AS rf_partial, round({_jaro}, 6) AS rf_jaro FROM pe {_fuzzy_join}"),
+    "pair_features": _pair_features(),
+    "match_by_rare_keys": with_(_MATCHED, "SELECT ent.entity_id AS source1_entity_id, coalesce(string_agg(id2, ',' ORDER BY id2), '') AS matched_entity_ids FROM ent LEFT JOIN mo ON id1 = ent.entity_id WHERE src = 'S1' GROUP BY 1"),
+    "pivot_candidates": with_(_PASSES, f"SELECT 'all' AS country, id1, id2, {_pass_columns}, count(DISTINCT ps)::INTEGER AS n_passes FROM al GROUP BY 1, 2, 3"),
+    "text_topk": with_(_SEARCH, "SELECT id1, id2, round(sim, 6) AS sim, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY round(sim, 9) DESC, id2) - 1 AS rank FROM sm) WHERE rank < 5"),
     "pair_jaro": with_(KPAIRS, "SELECT id1, id2, round(jaro_winkler_similarity(l.name_core, r.name_core), 6) AS rf_jaro FROM pe WHERE l.name_core <> '' AND r.name_core <> ''"),
     "competition_feats": with_(
         SCORED,

@@ -108,7 +108,7 @@ def key_frequency(spark, sf_dir):
 
 
 def _key_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    e = entities(spark, sf_dir)
+    e = store.keep(entities(spark, sf_dir), "entities")
     return e, keys.key_candidates(*candidates.sides(e))
 
 
@@ -199,7 +199,8 @@ def union_candidates(spark, sf_dir):
 
 @query
 def pivot_candidates(spark, sf_dir):
-    return candidates.pivot_candidates(_passes(spark, sf_dir), ["name", "rev", "hop"])
+    got = candidates.pivot_candidates(_passes(spark, sf_dir), ["name", "rev", "hop"])
+    return got.withColumns({f"sim_{n}": _r(f"sim_{n}") for n in ("name", "rev", "hop")})
 
 
 @query
@@ -254,8 +255,9 @@ def pair_fuzzy(spark, sf_dir):
 @query
 def pair_features(spark, sf_dir):
     e, pairs = _key_pairs(spark, sf_dir)
-    made = candidates.union_candidates(candidates.tagged(pairs, "key"))
-    return features.pair_features(made, e)
+    made = store.keep(candidates.union_candidates(candidates.tagged(pairs, "key")), "candidates")
+    got = features.pair_features(made, e)
+    return got.select("country", "id1", "id2", *[_r(n).alias(n) for n in features.NAMES])
 
 
 # --- scores to decisions ----------------------------------------------------------------------------------------

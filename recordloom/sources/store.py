@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +29,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where it is unset and all runs on one machine, a folder of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="recordloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: later plans start from the table, and lost executors cost their tasks only."""
+    path = f"{shared_dir(df.sparkSession)}/recordloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def audit(spark: SparkSession, tables: dict[str, DataFrame], expected: dict[str, int]) -> DataFrame:
     """name, n_rows, n_expected, ok of each expected table; a missing one has no rows and is not ok."""
     want = spark.createDataFrame(sorted(expected.items()), "name string, n_expected bigint")
