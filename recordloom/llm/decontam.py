@@ -184,7 +184,11 @@ def op8_simhash_decontamination(spark, sf_dir):
 
 
 def stage_decontamination(spark, docs, sf_dir):
-    """Pipeline stage: documents that hold a passage of the benchmark go."""
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    """Pipeline stage: documents that hold a passage of the benchmark go.
+
+    Null, empty and wordless texts hold none and stay. Rows without doc_id go; of a repeated doc_id all rows go if one
+    holds a passage. An empty table gives no rows, an empty benchmark takes none away. Other columns go.
+    """
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")
     hit = keep(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks").select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti")

@@ -155,25 +155,26 @@ def _predict(shared):
             score = np.where(first + second > 0, first / np.maximum(first + second, 1e-12), 0.0)
             pred = [model.langs[k] if ok and many else "und" for k, ok in zip(best, lettered, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in b.schema.names if c != "text"), pa.array(pred, pa.string()), pa.array(np.where(lettered, score, 0.0))],
-                [*(c for c in b.schema.names if c != "text"), "lang_pred", "score"],
+                [*(b.column(c) for c in b.schema.names if c != "text"), pa.array(pred, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(np.where(lettered, first, 0.0))],
+                [*(c for c in b.schema.names if c != "text"), "lang_pred", "score", "share"],
             )
 
     return run
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs but text, with lang_pred and score (which replace columns of these names).
+    """All columns of docs but text, with lang_pred, score and share (which replace columns of these names).
 
     lang_pred is the language whose filter holds the largest share of the text's n-grams, corrected by the
     filter's false-positive rate (fill ** HASHES); `und` with score 0 where the text is null or has no letter.
-    score, 0 to 1: that share against it and the runner-up's together. Ties go to the first name. A table
+    score, 0 to 1: that share against it and the runner-up's together; share: that share itself. Ties go to the
+    first name. A null doc_id is predicted like any, a repeated row as often as it stands there. A table
     without rows gives none; without learned languages all is `und`. Whole texts are read, in pieces.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "share")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(_predict(shared), f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(_predict(shared), f"{kinds}, lang_pred string, score double, share double")
 
 
 def held_out(part: int = 2, of: int = 4):
@@ -186,9 +187,23 @@ def op9_language_id(spark, sf_dir):
     return predict(docs.select("doc_id", "held_out", "text"), model)
 
 
-def stage_language_id(spark, docs, sf_dir, least: float = 0.5):
-    """Pipeline stage: keep the documents with a language; `und` and texts no language explains go."""
+FLOOR = 0.5
+"""A text is rejected below this part of the share that all but one in a hundred learned texts of a language reach."""
+
+
+def stage_language_id(spark, docs, sf_dir):
+    """Pipeline stage: keep the documents that a language explains.
+
+    Those go whose prediction is `und` (null, empty, no letter), or whose best language holds a smaller share of their
+    n-grams than FLOOR times the first percentile of that share among the texts the language was learned from; so
+    gibberish and languages never learned go whatever single n-grams they hit by chance. Rows without doc_id go;
+    of a repeated doc_id all rows stay if one of them is kept. An empty table gives no rows, one without
+    labelled languages none either (all is `und`). Other columns go.
+    """
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     model = learn(docs.where(~held_out()))
-    said = keep(predict(docs.select("doc_id", "text"), model), "languages").where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return docs.join(said.select("doc_id").distinct(), "doc_id", "left_semi")
+    said = keep(predict(docs.select("doc_id", "lang", "text"), model), "languages").where("lang_pred <> 'und'")
+    learned = said.where(~held_out() & (F.col("lang") == F.col("lang_pred")))
+    floors = learned.groupBy("lang_pred").agg((FLOOR * F.percentile_approx("share", 0.01, 1000)).alias("floor"))
+    stay = said.join(F.broadcast(floors), "lang_pred", "left").where("share >= coalesce(floor, 0)")  # one row for each language
+    return docs.join(stay.select("doc_id").distinct(), "doc_id", "left_semi")

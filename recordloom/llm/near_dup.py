@@ -391,11 +391,16 @@ def op1_ngram_jaccard_join(spark, sf_dir):
 
 
 def stage_near_duplicates(spark, docs, sf_dir):
-    """Pipeline stage: of each group of linked documents the one with the smallest doc_id stays."""
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    """Pipeline stage: of each group of linked documents the one with the smallest doc_id stays.
+
+    Null, empty and wordless texts link with nothing and stay. Rows without doc_id go; of rows that repeat a doc_id one
+    stays. An empty table gives no rows. Other columns go.
+    """
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")
     groups_ = keep(join_components(docs), "groups")
-    stay = groups_.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    stay = groups_.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    left = docs.join(stay.select("doc_id"), "doc_id", "left_semi")
+    return left.dropDuplicates(["doc_id"]) if stay.where("n > 1").limit(1).count() else left
 
 
 ORACLE_OP1 = r"""
