@@ -64,8 +64,8 @@ class Hot:
         self.sorted, self.rank_of = self.words[left][by], left[by]
         self.tokens, self.kinds = tokens, kinds
         self.log_total = np.log10(tokens + kinds + 1)
-        # buckets that a word's places are split into: about size / 2 places in each
-        self.splits = np.where(2 * self.counts > size, -(-2 * self.counts // size), 1).astype(_U)
+        # parts that the places after a word are split into: about size in each
+        self.splits = np.where(self.counts > 2 * size, -(-self.counts // size), 1).astype(_U)
         self.n_split = int((self.splits > 1).sum())  # the first ranks
 
     def _slot(self, w: np.ndarray, turn: int) -> np.ndarray:
@@ -518,20 +518,23 @@ def _gather(key, table):
 
 
 def _to_buckets(shared, buckets: int):
-    """Rows (bucket, w, nxt, c, known) of a split word w, for all the word's buckets; others as they are."""
+    """Rows (bucket, w, nxt, c, known) of split words w, each for all buckets of its word."""
 
     def run(batches):
         hot: Hot = shared.value
+        homes: dict[int, np.ndarray] = {}
         for b in batches:
-            w = b.column("w").to_numpy()
-            for r in np.unique(w):
-                rows = b.filter(pa.array(w == r))
-                if r < 0:
-                    yield pa.RecordBatch.from_arrays(rows.columns, rows.schema.names)
-                    continue
-                parts = np.arange(int(hot.splits[r]), dtype=_U)
-                for home in np.unique(_bucket(np.repeat(_chain([np.array([r], _U)])[0], len(parts)), parts, buckets)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, home, np.int64)), *rows.columns[1:]], rows.schema.names)
+            ranks, own = np.unique(b.column("w").to_numpy(), return_inverse=True)
+            for r in ranks.tolist():
+                if r not in homes:
+                    parts = np.arange(int(hot.splits[r]), dtype=_U)
+                    homes[r] = np.unique(_bucket(np.repeat(_chain([np.array([r], _U)])[0], len(parts)), parts, buckets))
+            many = np.array([len(homes[r]) for r in ranks.tolist()])
+            for k in range(int(many.max(initial=0))):  # each row's k-th bucket
+                rows = b.filter(pa.array(many[own] > k))
+                at = own[many[own] > k]
+                home = np.array([homes[r][k] if len(homes[r]) > k else -1 for r in ranks.tolist()])[at]
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int64)), *rows.columns[1:]], rows.schema.names)
 
     return run
 
@@ -563,8 +566,9 @@ def score_texts(docs: DataFrame, hot_words: int = HOT, size: int = BUCKET) -> Da
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // BUCKETS_A_TASK)
     needs = docs.mapInArrow(_needs(hot_shared, buckets), _NEED_DDL).groupBy("bucket", "w", "nxt").agg(F.sum("c").alias("c"))
     needs = needs.join(words.select(F.col("w").alias("nxt"), F.col("c").alias("known")), "nxt", "left")
-    needs = needs.select("bucket", "w", "nxt", "c", F.coalesce("known", F.lit(-1)).alias("known")).where("w >= 0 or known >= 0")
-    extra = keep(needs.mapInArrow(_to_buckets(hot_shared, buckets), f"{_NEED_DDL}, known bigint"), "next-words")
+    needs = keep(needs.select("bucket", "w", "nxt", "c", F.coalesce("known", F.lit(-1)).alias("known")).where("w >= 0 or known >= 0"), "next-words")
+    split = needs.where("w >= 0").mapInArrow(_to_buckets(hot_shared, buckets), f"{_NEED_DDL}, known bigint")
+    extra = needs.where("w < 0").unionByName(split)
     with small_batches(spark):
         read = docs.mapInArrow(_read(hot_shared, buckets), _READ_DDL).repartition(tasks, "bucket").groupBy("bucket")
         found = keep(read.cogroup(extra.repartition(tasks, "bucket").groupBy("bucket")).applyInArrow(_score(hot_shared, size), _FOUND_DDL), "contexts")

@@ -330,12 +330,32 @@ def test_simhash_blocks():
 
 
 def test_quality_sampling(spark):
+    """log_weight from a plain count of the hashed n-grams, and the exact sample by weight and noise."""
+    import pyarrow as pa
+
     rnd = random.Random(1)
     good, bad = vocabulary(rnd, 80), [f"junk{i}" for i in range(30)]
-    rows = [(i, " ".join(rnd.choice(good if i % 4 else bad) for _ in range(rnd.randint(5, 60)))) for i in range(200)]
-    got = quality.resample(spark.createDataFrame(rows, "doc_id bigint, text string"), np.array([i for i in range(0, 200, 1) if i % 4 and i % 2]), 0.75).collect()
-    kept = {r["doc_id"] for r in got if r["kept"]}
-    assert len(got) == 200 and len(kept) == 150 and sum(1 for i in kept if i % 4 == 0) <= 2
+    rows = [(i, " ".join(rnd.choice(good if i % 4 else bad) for _ in range(rnd.randint(5, 60)))) for i in range(200)] + [(200, None), (None, "x y")]
+    target = [i for i in range(200) if i % 4 and i % 2]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = quality.resample(docs, np.array(target), 0.75).collect()
+    of = {}
+    for lo, hi, h, bounds in textkit.groups(pa.array([t for _, t in rows]), (quality.BEGINNING,)):
+        for k in range(hi - lo):
+            w = h[bounds[k] : bounds[k + 1]]
+            pairs = textkit.mix(w[:-1, 0] * np.uint64(3) + w[1:, 0])
+            of[rows[lo + k][0]] = [int(x) % quality.SIZE for x in (*w[:, 0], *textkit.mix(w[:, 1] + np.uint64(7)), *pairs)]
+    raw, aim = Counter(x for v in of.values() for x in v), Counter(x for i in target for x in of[i])
+    n, m = sum(raw.values()), sum(aim.values())
+    p_raw = lambda x: (raw[x] + 1) / (n + quality.SIZE)
+    ratio = {x: math.log((aim[x] + quality.PRIOR * p_raw(x)) / (m + quality.PRIOR) / p_raw(x)) for x in raw}
+    noise = {r["doc_id"]: r["g"] for r in docs.select("doc_id", quality.gumbel("doc_id").alias("g")).collect()}
+    want = {i: sum(ratio[x] for x in v) for i, v in of.items()}
+    for r in got:
+        assert math.isclose(r["log_weight"], want[r["doc_id"]], rel_tol=1e-9, abs_tol=1e-9) and r["n_grams"] == len(of[r["doc_id"]])
+    order = sorted((i for i in want if i is not None), key=lambda i: (-round(want[i] + noise[i], 6), i))
+    assert {r["doc_id"] for r in got if r["kept"]} == set(order[: round(0.75 * len(rows))])
+    assert abs(np.mean(list(noise.values())) - 0.577) < 0.3
 
 
 @pytest.mark.parametrize("k", [0, 1, 7, 50, 99, 100, 200])
@@ -358,9 +378,10 @@ def test_mixing_meets_its_targets(spark):
     assert (got["rate"] >= 0).all() and np.abs(reached / targets - 1).max() < 0.03
     # the same descent on one machine
     r, have, eta = np.ones(300), t @ p, 1 / (1 + mixing.RIDGE)
-    for _ in range(mixing.ROUNDS):
+    for _ in range(2000):  # plain steps, without momentum
         r = np.maximum(0, r - eta * (p @ (((r * t) @ p - targets) / have) + mixing.RIDGE * (r - 1)))
     assert np.abs(r - got["rate"].to_numpy()).max() < 0.02
+    assert len(mixing.fit_rates(member, targets)) < 100
 
 
 def test_posteriors(spark):
