@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import bitmap, keep
+from .store import bitmap, forget, keep
 
 WIDTH = 9
 PERCENT = 75
@@ -28,6 +28,8 @@ BAND = 3
 FEW = 12
 SOME = 5
 CROWD = 16
+MATCHES = 4
+"""Shingles that lines of a crowded band must share in their prefixes, which are so much longer."""
 HUBS = 8
 """Components of a larger band that its others are compared with before the join."""
 BITS = 23
@@ -139,25 +141,30 @@ def across(mixed: DataFrame) -> DataFrame:
 def crowded(lines: DataFrame, classes: DataFrame, mixed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: the pairs of lines of bands of more than CROWD lines that can be links and lie in different components.
 
-    Similar lines share one of the first shingles in any common order (prefix filter), and the first that they share
-    leaves enough after it in both (position filter), so no link is lost; the order is by frequency among these
-    lines.
+    Similar lines share MATCHES of the first shingles in any common order (multi-match prefix filter), and those leave
+    enough after them in both (position filter), so no link is lost; the order is by frequency among these lines.
     """
     few = keep(mixed.where(f"n > {CROWD}").select("uid", "comp").distinct(), "line-crowds")
-    sets = keep(_texts(lines, classes, few.select("uid")).select("uid", hashed(F.col("line")).alias("sh")).join(few, "uid"), "line-sets")
+    texts = _texts(lines, classes, few.select("uid"))
+    sets = keep(texts.select("uid", hashed(F.col("line")).alias("sh")).join(few, "uid"), "line-sets")
+    forget(texts)
     flat = sets.select("uid", "comp", F.size("sh").alias("n"), F.explode("sh").alias("h"))
     often = flat.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # shingles of one line only come first in the order and meet nothing
     ranked = flat.join(often, "h").select("uid", "comp", "n", "h", "df")
     alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("uid"))
     ranked = ranked.select("uid", "comp", "n", "h", (alone + F.row_number().over(Window.partitionBy("uid").orderBy("df", "h")) - 1).alias("r"))
-    prefix = keep(ranked.where(f"r <= n - ({percent} * n + 99) div 100"), "line-prefixes")
+    prefix = keep(ranked.where(f"r <= n - ({percent} * n + 99) div 100 + {MATCHES - 1}"), "line-prefixes")
     other = prefix.select("h", *[F.col(c).alias(f"other_{c}") for c in ("uid", "comp", "n", "r")])
     met = prefix.join(other, "h").where(
         f"uid < other_uid and comp <> other_comp and 100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
-        f" and {100 + percent} * least(n - r, other_n - other_r) >= {percent} * (n + other_n)"
+        f" and {100 + percent} * (least(n - r, other_n - other_r) + {MATCHES - 1}) >= {percent} * (n + other_n)"
     )
-    return met.select(F.col("uid").alias("a"), F.col("other_uid").alias("b")).distinct()
+    need = F.ceil((F.col("n") + F.col("other_n")) * percent / (100 + percent))
+    met = met.groupBy(F.col("uid").alias("a"), F.col("other_uid").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first(F.least(need, F.lit(MATCHES))).alias("m")).where("c >= m").select("a", "b")
+    pairs = keep(met, "line-pairs")
+    forget(few, sets, prefix)
+    return pairs
 
 
 def _among(rows: DataFrame, some: DataFrame, key: Column) -> DataFrame:
@@ -174,7 +181,9 @@ def _texts(lines: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """uid, line of the lines with a uid in ids (different uids)."""
     places = keep(classes.select("uid", "id", "doc_id", "line_no").join(ids, "uid"), "line-places")
     found = _among(lines, places, F.xxhash64("doc_id", "line_no")).select(digest(F.col("line")).alias("id"), "line")
-    return keep(found.join(places.select("uid", "id"), "id").groupBy("uid").agg(F.first("line").alias("line")), "line-texts")
+    texts = keep(found.join(places.select("uid", "id"), "id").groupBy("uid").agg(F.first("line").alias("line")), "line-texts")
+    forget(places)
+    return texts
 
 
 def links(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -191,7 +200,9 @@ def links(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int =
     sets = both.select("a", "b", *[hashed(F.col(c)).alias(n) for c, n in (("s", "x"), ("t", "y"))])
     near = sets.where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
     common = F.size(F.array_intersect("x", "y"))
-    return near.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where(f"100 * c >= {percent} * (n - c)").select("a", "b")
+    linked = keep(near.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where(f"100 * c >= {percent} * (n - c)").select("a", "b"), "line-links")
+    forget(close, texts)
+    return linked
 
 
 def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -208,13 +219,17 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = keep(classes_of(rows), "line-classes")
     rows = rows.select("doc_id", "line_no", "id")
     small, large = shared_bands(classes)
-    linked = keep(links(lines, classes, keep(candidates(small, large), "line-pairs"), percent), "line-links")
+    pairs = keep(candidates(small, large), "line-pairs")
+    linked = links(lines, classes, pairs, percent)
+    forget(pairs)
     comp = components(linked).withColumnRenamed("id", "uid")
-    for more in (lambda mixed: across(mixed), lambda mixed: crowded(lines, classes, mixed, percent)):
-        pairs = keep(more(keep(_mixed(large, comp), "line-mixed")), "line-pairs")
+    for more in (lambda mixed: keep(across(mixed), "line-pairs"), lambda mixed: crowded(lines, classes, mixed, percent)):
+        mixed = keep(_mixed(large, comp), "line-mixed")
+        pairs = more(mixed)
         if pairs.limit(1).count():
-            linked = linked.union(keep(links(lines, classes, pairs, percent), "line-links"))
+            linked = linked.union(links(lines, classes, pairs, percent))
             comp = components(linked).withColumnRenamed("id", "uid")
+        forget(mixed, pairs)
     first = F.struct("doc_id", "line_no")
     named = classes.select("uid", "id", first.alias("first")).join(comp, "uid", "left").select("id", "first", F.coalesce("comp", "uid").alias("comp"))
     stay = named.groupBy("comp").agg(F.min("first").alias("stay"))
