@@ -253,3 +253,23 @@ def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op7_fuzzy_lines(spark, sf_dir):
     return line_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# the same by comparing all lines, in DuckDB; the query may miss a few links near the threshold (see the tests)
+EXACT_SQL = r"""
+WITH RECURSIVE ln AS (
+  SELECT doc_id, line_no - 1 AS line_no, lower(trim(ls[line_no], E' \t\r\x0B\x0C')) AS line
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS line_no FROM (SELECT doc_id, string_split(coalesce(text, ''), E'\n') AS ls FROM documents))),
+cl AS (SELECT line, min({'d': doc_id, 'l': line_no}) AS f, row_number() OVER (ORDER BY min({'d': doc_id, 'l': line_no})) AS uid FROM ln WHERE line <> '' GROUP BY line),
+sh AS (SELECT uid, unnest(CASE WHEN length(line) < 9 THEN [line] ELSE list_distinct(list_transform(range(1, length(line) - 7), lambda i: substr(line, i, 9))) END) AS t FROM cl),
+sz AS (SELECT uid, count(*) AS n FROM sh GROUP BY uid),
+sharing AS (SELECT a.uid AS x, b.uid AS y, count(*) AS c FROM sh a JOIN sh b ON a.t = b.t AND a.uid < b.uid GROUP BY 1, 2),
+links AS (SELECT x, y FROM sharing JOIN sz p ON p.uid = x JOIN sz q ON q.uid = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON r.y = e.x),
+root AS (SELECT x, least(x, min(y)) AS r FROM reach GROUP BY x),
+stays AS (SELECT cl.line, k.f FROM cl LEFT JOIN root ON root.x = cl.uid JOIN cl k ON k.uid = coalesce(root.r, cl.uid))
+SELECT ln.doc_id, ln.line_no::INTEGER AS line_no, coalesce(f.d, ln.doc_id) AS keep_doc_id, coalesce(f.l, ln.line_no)::INTEGER AS keep_line_no,
+       f IS NULL OR (f.d = ln.doc_id AND f.l = ln.line_no) AS kept
+FROM ln LEFT JOIN stays ON stays.line = ln.line
+"""

@@ -432,3 +432,70 @@ def test_fuzzy_lines(spark):
             total += 1
             wrong += got[i, k] != (want, want == (i, k))
     assert len(got) == total and wrong <= 0.02 * total
+
+
+def lines_of_three_kinds(seed, base, copies):
+    """kind -> lines: 18 words with one changed; half of each line a common phrase; six words with an e, one of them changed."""
+    rnd = random.Random(seed)
+    v = ["".join(rnd.choice("bcdfghjklmnprstvw") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4))) for _ in range(3000)]
+    with_e, without = [w for w in v if "e" in w], [w for w in v if "e" not in w]
+    phrase = [rnd.choice(v) for _ in range(9)]
+    out = {"plain": [], "half": [], "few": []}
+    for _ in range(base):
+        few = [rnd.choice(without) for _ in range(14)]
+        for k in rnd.sample(range(14), 6):
+            few[k] = rnd.choice(with_e)
+        for kind, line in (("plain", [rnd.choice(v) for _ in range(18)]), ("half", [rnd.choice(v) for _ in range(9)] + phrase), ("few", few)):
+            out[kind].append(" ".join(line))
+            for _ in range(copies):
+                m = list(line)
+                if kind == "few":
+                    m[rnd.choice([i for i, w in enumerate(m) if "e" in w])] = rnd.choice(without)
+                else:
+                    m[rnd.randrange(9 if kind == "half" else 18)] = rnd.choice(v)
+                out[kind].append(" ".join(m))
+    return {k: list(dict.fromkeys(x)) for k, x in out.items()}
+
+
+@pytest.mark.parametrize("base, copies", [(60, 2), (400, 3)])
+def test_fuzzy_lines_recall(spark, base, copies):
+    """Of the lines that an exact comparison merges, by kind; nothing else may be merged."""
+    made = lines_of_three_kinds(base, base, copies)
+    lines = [x for k in made for x in made[k]]
+    grams = [{x[j : j + 9] for j in range(len(x) - 8)} or {x} for x in lines]
+    posted, root = {}, list(range(len(lines)))
+    for i, g in enumerate(grams):
+        for h in g:
+            posted.setdefault(h, []).append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, g in enumerate(grams):
+        for j, n in Counter(j for h in g for j in posted[h] if j < i).items():
+            if 100 * n >= 75 * (len(g) + len(grams[j]) - n):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["keep_doc_id"] for r in line_dedup.line_groups(docs).collect()}
+    assert all(find(got[i]) == find(i) for i in range(len(lines)))
+    at = 0
+    for kind, own in made.items():
+        ids = range(at, at + len(own))
+        at += len(own)
+        want, have = (len(ids) - len({f(i) for i in ids}) for f in (find, got.get))
+        assert want > 0 and have >= 0.95 * want, (kind, want, have)
+
+
+def test_fuzzy_lines_against_exact_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = {(r[0], r[1]): r[2:] for r in c.execute(f"SELECT doc_id, line_no, keep_doc_id, keep_line_no, kept FROM ({line_dedup.EXACT_SQL})").fetchall()}
+    got = {(r[0], r[1]): tuple(r[2:]) for r in line_dedup.op7_fuzzy_lines(spark, "/root/testdata/sf0.01").select("doc_id", "line_no", "keep_doc_id", "keep_line_no", "kept").collect()}
+    assert got.keys() == want.keys()
+    gone, missed = sum(not r[2] for r in want.values()), sum(got[k] != want[k] for k in want)
+    assert gone > 1000 and missed <= 0.01 * gone
