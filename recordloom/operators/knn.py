@@ -83,6 +83,22 @@ def topk_cells(a: DataFrame, b: DataFrame, k: int, cells: int = 64, probes: int
     return top_ranked(pairs.select("country", "id1", "id2", inner_product(F.col("v1"), F.col("v2")).alias("sim")), "id1", "id2", k)
 
 
+def search(a: DataFrame, b: DataFrame, k: int, mode: str = "auto", exact_up_to: int = 50_000, probes: int = 64) -> DataFrame:
+    """Top k by the size of b: topk_dense() while no country has more than exact_up_to rows, else topk_cells().
+
+    mode: "exact" or "ivf" choose one of them, "auto" goes by size. Cells number 4 * sqrt(rows of the largest country),
+    256 at least and 16384 at most; `probes` of them are read for each query row.
+    """
+    if mode not in ("auto", "exact", "ivf"):
+        raise ValueError(f"mode {mode!r}")
+    sizes = b.groupBy("country").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    n = sizes.first()["n"] if mode != "exact" else 0
+    if mode == "exact" or (mode == "auto" and n <= exact_up_to):
+        return topk_dense(a, b, k)
+    cells = min(16384, max(256, int(4 * n**0.5)))
+    return topk_cells(a, b, k, cells=cells, probes=min(probes, cells))
+
+
 def topk_lsh(a: DataFrame, b: DataFrame, k: int, radius: float = 1.2, bucket: float = 0.8, tables: int = 8, seed: int = 0) -> DataFrame:
     """Approximate top k of unit vectors by random-projection LSH; sim = 1 - distance**2 / 2."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

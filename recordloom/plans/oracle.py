@@ -322,6 +322,19 @@ def _pair_features() -> str:
     return with_(f"{ctes},{FUZZY}", f"SELECT pe.country, pe.id1, pe.id2, {columns} FROM pe JOIN cw ON cw.id1 = pe.id1 AND cw.id2 = pe.id2 JOIN kc ON kc.id1 = pe.id1 AND kc.id2 = pe.id2 {_fuzzy_join}")
 
 
+def crc(x: str) -> str:
+    """CRC-32 of an ASCII string: its bytes, each followed by seven zeros, are taken in a bit at a time."""
+    steps = f"flatten(list_transform(range(1, length({x}) + 1), lambda i: list_concat([ord({x}[i])::BIGINT], [0, 0, 0, 0, 0, 0, 0]::BIGINT[])))"
+    turned = lambda c: f"xor({c} >> 1, CASE WHEN {c} & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce({steps}, lambda c, b: {turned('xor(c, b)')}, 4294967295::BIGINT), 4294967295)"
+
+
+_LABELLED = f"""{SCORED}, {TRUE},
+lb AS (SELECT sp.id1, sp.id2, (EXISTS (SELECT 1 FROM tr WHERE tr.id1 = sp.id1 AND tr.id2 = sp.id2))::INTEGER AS y FROM sp),
+np AS (SELECT sum(y) AS n1, count(*) - sum(y) AS n0 FROM lb),
+rp AS (SELECT n1, n0, least(1.0, 0.4 * 400 / greatest(1, n1)) AS pos FROM np),
+rn AS (SELECT pos, least(1.0, greatest(0.01, (400 - pos * n1) / greatest(1, n0))) AS neg FROM rp),
+ng AS (SELECT id1, id2, y, pos, neg, id1 || '|' || id2 || '|0' AS k FROM lb, rn)"""
 _SEARCH = f"""{ENT},
 pd AS (SELECT country, entity_id AS id, CASE WHEN addr_full = '' THEN '' ELSE substr(' ' || array_to_string({words('addr_full')}, '  ') || ' ', 1, 256) END AS t FROM ent),
 g AS (SELECT country, id, unnest({char_grams('t', (3,))}) AS term FROM pd),{_TFIDF},
@@ -396,6 +409,10 @@ SELECT id1, id2, """
     "match_by_rare_keys": with_(_MATCHED, "SELECT ent.entity_id AS source1_entity_id, coalesce(string_agg(id2, ',' ORDER BY id2), '') AS matched_entity_ids FROM ent LEFT JOIN mo ON id1 = ent.entity_id WHERE src = 'S1' GROUP BY 1"),
     "pivot_candidates": with_(_PASSES, f"SELECT 'all' AS country, id1, id2, {_pass_columns}, count(DISTINCT ps)::INTEGER AS n_passes FROM al GROUP BY 1, 2, 3"),
     "text_topk": with_(_SEARCH, "SELECT id1, id2, round(sim, 6) AS sim, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY round(sim, 9) DESC, id2) - 1 AS rank FROM sm) WHERE rank < 5"),
+    "fold_split": with_(REC, f"SELECT entity_id, k >= 8 AS val, (k >= 4)::INTEGER AS half FROM (SELECT entity_id, {crc('entity_id')} % 10 AS k FROM rec)"),
+    "hash_sample": with_(REC, f"SELECT entity_id FROM rec WHERE {crc('entity_id')} % 1000 < 250"),
+    "negative_sampling": with_(_LABELLED, f"SELECT id1, id2, y, round(CASE WHEN y = 1 THEN 1.0 ELSE pos / neg END, 9) AS weight FROM ng WHERE {crc('k')} / 4294967296 < CASE WHEN y = 1 THEN pos ELSE neg END"),
+    "topk_search": with_(f"{VECS}, {top('s1', 's2', 5, 'fw')}", "SELECT id1, id2, round(sim, 6) AS sim, rank::INTEGER AS rank FROM fw"),
     "pair_jaro": with_(KPAIRS, "SELECT id1, id2, round(jaro_winkler_similarity(l.name_core, r.name_core), 6) AS rf_jaro FROM pe WHERE l.name_core <> '' AND r.name_core <> ''"),
     "competition_feats": with_(
         SCORED,
@@ -439,7 +456,10 @@ SELECT t, round(avg(CASE WHEN np = 0 AND nt = 0 THEN 1.0 WHEN np = 0 OR nt = 0 O
         f"{SCORED}, bl AS (SELECT id1, id2, p, CASE WHEN p BETWEEN 0.02 AND 0.995 THEN 0.75 * p + 0.25 * round(p * p, 6) ELSE p END AS b FROM sp)",
         "SELECT id1, id2, round(b, 9) AS p FROM bl",
     ),
-    "source_audit": "SELECT name, n AS n_rows, n AS n_expected, true AS ok FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("documents", "embeddings", "customer", "nation")) + ")",
+    "source_audit": "SELECT name, n_rows, n_expected, coalesce(n_rows = n_expected, false) AS ok FROM (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS name, {n} AS n_rows, {want}::BIGINT AS n_expected" for t, n, want in (
+            ("region", "(SELECT count(*) FROM region)", 5), ("nation", "(SELECT count(*) FROM nation)", 25), ("orders", "(SELECT count(*) FROM orders)", "(SELECT 10 * count(*) FROM customer)"),
+            ("supplier", "(SELECT count(*) FROM supplier)", 7), ("missing", "NULL::BIGINT", 1))) + ")",
     "blocking_recall": with_(
         f"{RARE}, tru AS (SELECT a.entity_id AS id1, b.entity_id AS id2, a.country FROM rec a JOIN documents x ON a.doc_id = x.doc_id JOIN documents y ON x.text = y.text JOIN rec b ON b.doc_id = y.doc_id WHERE a.country = b.country AND a.entity_id LIKE 'S1%' AND b.entity_id NOT LIKE 'S1%')",
         "SELECT t.country, count(kc.id1) AS found, count(*) AS true_pairs, round(count(kc.id1) / count(*), 6) AS recall FROM tru t LEFT JOIN kc ON kc.id1 = t.id1 AND kc.id2 = t.id2 GROUP BY 1",

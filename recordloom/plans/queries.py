@@ -165,6 +165,11 @@ def topk_dense(spark, sf_dir):
     return _out(knn.topk_dense(*_vectors(spark, sf_dir), 5))
 
 
+@query
+def topk_search(spark, sf_dir):
+    return _out(knn.search(*_vectors(spark, sf_dir), 5))
+
+
 @query
 def reverse_topk(spark, sf_dir):
     a, b = _vectors(spark, sf_dir)
@@ -367,9 +372,10 @@ def rerank_blend(spark, sf_dir):
 
 @query
 def source_audit(spark, sf_dir):
-    names = ["documents", "embeddings", "customer", "nation"]
-    tables = {n: proxy.table(spark, sf_dir, n) for n in names}
-    return store.audit(spark, tables, {n: df.count() for n, df in tables.items()})
+    """Fixed numbers of rows (two tables), a number that follows from another table, a wrong number and a missing table: the last two are not ok."""
+    tables = {n: proxy.table(spark, sf_dir, n) for n in ("region", "nation", "orders", "supplier")}
+    orders = 10 * proxy.table(spark, sf_dir, "customer").count()
+    return store.audit(spark, tables, {"region": 5, "nation": 25, "orders": orders, "supplier": 7, "missing": 1})
 
 
 # --- sampling and models ------------------------------------------------------------------------------------------
@@ -389,7 +395,7 @@ def hash_sample(spark, sf_dir):
 @query
 def negative_sampling(spark, sf_dir):
     labelled = model.label_pairs(_scored(spark, sf_dir), _truth(spark, sf_dir))
-    return sampling.subsample(labelled, 400).select("id1", "id2", "y", "weight")
+    return sampling.subsample(labelled, 400).select("id1", "id2", "y", _r("weight", 9).alias("weight"))
 
 
 @query
