@@ -210,3 +210,29 @@ def test_truth_and_labels(spark):
     assert {tuple(r) for r in truth.collect()} == {("a", "x"), ("a", "y")}
     got = model.label_pairs(pairs_of(spark, [("a", "x", 0.1), ("b", "x", 0.2)]), truth)
     assert {(r["id1"], r["y"]) for r in got.collect()} == {("a", 1), ("b", 0)}
+
+
+def test_partial_ratio_is_the_best_window():
+    import random
+
+    rnd = random.Random(3)
+
+    def plain(a, b):
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        ways = [(short, long), (long, short)] if len(a) == len(b) else [(short, long)]
+        return max(distance.indel_similarity(s, x[max(i, 0) : i + len(s)]) for s, x in ways for i in range(1 - len(s), len(x)))
+
+    for _ in range(400):
+        a, b = ("".join(rnd.choice("abcd ") for _ in range(rnd.randint(1, 14))) for _ in range(2))
+        assert math.isclose(distance.partial_ratio(a, b), plain(a, b)), (a, b)
+
+
+def test_search_goes_by_size_and_finds_most(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("'all' country", "vec_id id", "embedding vec")
+    a, b = v.where("id % 20 = 0"), v.where("id % 20 <> 0")
+    exact = {(r["id1"], r["id2"]) for r in knn.search(a, b, 10).collect()}
+    assert exact == {(r["id1"], r["id2"]) for r in knn.topk_dense(a, b, 10).collect()}
+    near = {(r["id1"], r["id2"]) for r in knn.search(a, b, 10, exact_up_to=100).collect()}
+    assert len(near & exact) >= 0.9 * len(exact)
+    with pytest.raises(ValueError):
+        knn.search(a, b, 10, mode="other")

@@ -92,4 +92,17 @@ def test_link_end_to_end(spark, tmp_path):
     assert out["decision"]["rule"] in ("threshold", "expected_f") and max(out["decision"]["f_threshold"], out["decision"]["f_expected"]) > 0.8
     got = {r["source1_entity_id"]: set(filter(None, r["matched_entity_ids"].split(","))) for r in out["matches"].collect()}
     assert len(got) == 40 and sum(f"S2_{i}" in got[f"S1_{i}"] for i in range(40)) >= 32
-    assert os.path.exists(tmp_path / "scored")
+    assert os.path.exists(tmp_path / "scored") and out["chosen"] in ("first", "reranked") and out["rerank"]["f_val"] > 0
+    lines = tsv.read_tsv(spark, str(tmp_path / f"matches-{out['fingerprint'][:12]}.tsv"), tsv.TRUTH).collect()
+    assert [r["source1_entity_id"] for r in lines] == sorted(got) and {r["source1_entity_id"]: set(filter(None, r["matched_entity_ids"].split(","))) for r in lines} == got
+
+
+def test_audit_finds_wrong_counts_and_missing_tables(spark):
+    tables = {"a": spark.range(3), "b": spark.range(4)}
+    got = {r["name"]: (r["n_rows"], r["ok"]) for r in store.audit(spark, tables, {"a": 3, "b": 5, "c": 1}).collect()}
+    assert got == {"a": (3, True), "b": (4, False), "c": (None, False)}
+
+
+def test_cut_off_utf8(spark, tmp_path):
+    (tmp_path / "x.tsv").write_bytes("entity_id\tbusiness_name\nS1_1\tCaf\u00e9\n".encode()[:-2] + b"\n")
+    assert tsv.read_tsv(spark, str(tmp_path / "x.tsv"), ["entity_id", "business_name"]).first()["business_name"] == "Caf\ufffd"
