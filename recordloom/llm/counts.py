@@ -101,4 +101,4 @@ def top_k(df: DataFrame, k: int, score: str, tie: str):
     value, above = found
     level = rows.where(F.col(score) == value).withColumn("_t", -F.col(tie))
     last = cut(level, "_t", k - above)
-    return F.coalesce((F.col(score) > value) | ((F.col(score) == value) & (-F.col(tie) >= last[0])), F.lit(False))
+    return F.col(tie).isNotNull() & F.coalesce((F.col(score) > value) | ((F.col(score) == value) & (-F.col(tie) >= last[0])), F.lit(False))

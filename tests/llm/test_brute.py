@@ -220,13 +220,8 @@ def test_binary_fuse_filter(n):
     assert exact_dedup.fuse_contains(other, *f).mean() < 0.012
 
 
-@pytest.mark.parametrize("hot_words, size", [(lm.HOT, lm.BUCKET), (25, 200), (1, 40)])
-def test_suffix_tree_scores(spark, docs, corpus, hot_words, size):
-    """With all words at hand in a few buckets, and with few words at hand and frequent words split over buckets."""
-    held = {i: i % 4 == 0 for i, _ in corpus}
-    rows = spark.createDataFrame([(i, t, held[i]) for i, t in corpus], "doc_id bigint, text string, held_out boolean").repartition(3)
-    got = {r["doc_id"]: r for r in lm.score_texts(rows, hot_words, size).collect()}
-    seqs = {i: [*words(t), "<end>"] for i, t in corpus}
+def plain_tree(seqs, held):
+    """(counts of words, their sum, P0, P(w | context), times each state was seen) by the definition, on one machine."""
     c = Counter(w for i, s in seqs.items() if not held[i] for w in s)
     n, v = sum(c.values()), len(c)
     p0 = lambda w: (c[w] + 1) / (n + v + 1)
@@ -252,6 +247,17 @@ def test_suffix_tree_scores(spark, docs, corpus, hot_words, size):
             gain = sum(k * math.log(((k - 1) / parents[w] + lm.BETA) / (m - 1 + lm.BETA)) for w, k in nexts[x].items())
             if m >= lm.LEAST and gain > lm.TEST:
                 states[x] = m
+    return c, n, p0, probability, states
+
+
+@pytest.mark.parametrize("hot_words, size", [(lm.HOT, lm.BUCKET), (25, 200), (1, 40)])
+def test_suffix_tree_scores(spark, docs, corpus, hot_words, size):
+    """With all words at hand in a few buckets, and with few words at hand and frequent words split over buckets."""
+    held = {i: i % 4 == 0 for i, _ in corpus}
+    rows = spark.createDataFrame([(i, t, held[i]) for i, t in corpus], "doc_id bigint, text string, held_out boolean").repartition(3)
+    got = {r["doc_id"]: r for r in lm.score_texts(rows, hot_words, size).collect()}
+    seqs = {i: [*words(t), "<end>"] for i, t in corpus}
+    c, n, p0, probability, states = plain_tree(seqs, held)
     assert {len(x) for x in states} == set(range(1, lm.DEPTH + 1))
     for i, s in seqs.items():
         r = got[i]

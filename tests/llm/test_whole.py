@@ -2,15 +2,14 @@
 
 import math
 import random
-from collections import Counter
 
 from recordloom.llm import line_dedup, lm
 
+from test_brute import plain_tree
 
-def test_every_context_that_passes_is_a_state(spark, monkeypatch):
-    # more pairs than the former limit of the broadcast tree, here lowered, and next words outside the hot table
-    monkeypatch.setattr(lm, "STATES", 40, raising=False)
-    monkeypatch.setattr(lm, "HOT", 31)
+
+def test_every_context_that_passes_is_a_state(spark):
+    # far more states than words at hand, frequent words split over many buckets
     rnd = random.Random(5)
     follow = {f"w{k}": [f"w{rnd.randrange(300)}" for _ in range(2)] for k in range(300)}
     rows = []
@@ -20,48 +19,27 @@ def test_every_context_that_passes_is_a_state(spark, monkeypatch):
             out += [x] + ([f"f{rnd.randrange(30)}"] if rnd.random() < 0.9 else [])
             x = rnd.choice(follow[x])
         rows.append((i, " ".join(out), i % 5 == 0))
-    got = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean").repartition(3)).collect()}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean").repartition(3)
+    got = {r["doc_id"]: r for r in lm.score_texts(docs, hot_words=31, size=100).collect()}
     seqs = {i: [*t.split(), "<end>"] for i, t, _ in rows}
-    c = Counter(w for i, _, held in rows if not held for w in seqs[i])
-    n, v = sum(c.values()), len(c)
-    order = sorted(c, key=lambda w: -c[w])
-    hot, rarest = set(order[: lm.HOT]), c[order[lm.HOT - 1]]
-    assert c[order[lm.HOT]] < rarest
-
-    def context(s, k):
-        for d in range(1, lm.DEPTH + 1):
-            if k >= d and s[k - d] not in hot:
-                return tuple(s[k - d : k])
-        return None
-
-    table = {}
-    for i, _, held in rows:
-        if not held:
-            for k, w in enumerate(seqs[i]):
-                if x := context(seqs[i], k):
-                    table.setdefault(x, Counter())[w] += 1
-    p0 = lambda w: (c[w] + 1) / (n + v + 1)
-    at_least = lambda w: (max(c[w], rarest) + 1) / (n + v + 1)
-    kept = {}
-    for x, nx in table.items():
-        m = sum(nx.values())
-        gain = sum(k * math.log(((k - 1) / at_least(w) + lm.BETA) / (m - 1 + lm.BETA)) for w, k in nx.items())
-        if m >= lm.LEAST and gain > lm.TEST:
-            kept[x] = nx, m
-    assert sum(len(nx) for nx, _ in kept.values()) > 150 and len(c) > lm.HOT
-    for i, _, _ in rows:
-        score = 0.0
-        for k, w in enumerate(seqs[i]):
-            nx, m = kept.get(context(seqs[i], k), (None, 0))
-            score += math.log10((nx[w] + lm.BETA * p0(w)) / (m + lm.BETA) if m else p0(w))
+    c, _, _, probability, states = plain_tree(seqs, {i: held for i, _, held in rows})
+    assert len(states) > 150 and len(c) > 31
+    for i, s in seqs.items():
+        score = sum(math.log10(probability(tuple(s[max(0, k - lm.DEPTH) : k]), w)) for k, w in enumerate(s))
         assert math.isclose(got[i]["score"], score, rel_tol=1e-5, abs_tol=1e-4)
 
 
 def test_all_lines_of_a_band_meet(spark):
-    small, large = [(i, [7]) for i in range(10)], [(100 + i, [8]) for i in range(30)]
-    got = {(r["a"], r["b"]) for r in line_dedup.candidates(spark.createDataFrame(small + large, "uid bigint, keys array<bigint>")).collect()}
+    small, large = [(i, None, [7]) for i in range(10)], [(100 + i, None, [8]) for i in range(30)]
+    classes = spark.createDataFrame(small + large, "uid bigint, sig_w array<bigint>, sig_a array<bigint>")
+    two, many = line_dedup.shared_bands(classes)
+    star = {(r["a"], r["b"]) for r in line_dedup.candidates(two, many).collect()}
+    assert len([p for p in star if p[1] < 100]) == 9 and len([p for p in star if p[0] >= 100]) == 29
+    alone = classes.selectExpr("uid", "uid comp")
+    got = {(r["a"], r["b"]) for r in line_dedup.across(line_dedup._mixed(many, alone)).collect()}
     assert {p for p in got if p[1] < 100} == {(a, b) for b in range(10) for a in range(b)}
-    assert len([p for p in got if p[0] >= 100]) == 29
+    hubs = min(line_dedup.HUBS, 30)
+    assert len([p for p in got if p[0] >= 100]) == hubs * (30 - hubs) + hubs * (hubs - 1) // 2
 
 
 def test_crowded_bands_lose_no_link(spark):
