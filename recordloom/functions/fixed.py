@@ -85,6 +85,3 @@ ADDRESS_STOPS = [
     "the", "of", "de", "du", "des", "la", "le", "kh", "sno", "gala", "shop", "flat", "floor", "building", "region",
 ]
 NUMBER = r"\d+[a-z]?(?:/\d+[a-z]?)*"
-
-# The 32-bit multiplier of the n-gram hash.
-FNV_PRIME = 16777619
