@@ -12,8 +12,9 @@ from .textkit import groups, in_bitmap, mix, shingles
 
 WIDTH = 5
 PERCENT = 75
-RADIUS = 12
-"""Fingerprints (64 bits) at most this far apart are candidates."""
+RADIUS = 18
+"""Fingerprints (64 bits) at most this far apart are candidates. A passage changed at one end to a similarity of just
+0.75 lies 11 bits away on average with a deviation of 3 (the tests measure the share that is met)."""
 LEAST_HITS = 0.6
 """A window is fingerprinted when this share of its shingles may occur in the benchmark. With weights between
 1 and 2, a weighted similarity of 0.75 needs at least 0.6 of them, so no match is lost."""
@@ -67,6 +68,32 @@ def _items(batches):
 _WINDOW = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("fp", pa.int64()), ("shingles", pa.list_(pa.int64())), ("blocks", pa.list_(pa.int64()))])
 
 
+def _full(own: np.ndarray, need: int, m: int, size: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, text) of the windows of size words, m shingles, that hold need or more of the places own."""
+    # windows from the first to the last of `need` hits that lie close enough
+    low, high = own[need - 1 :] - m + 1, own[: len(own) - need + 1]
+    close = low <= high
+    if not close.any():
+        return own[:0], own[:0]
+    begin = np.unique(np.concatenate([np.arange(max(x, 0), y + 1) for x, y in zip(low[close].tolist(), high[close].tolist(), strict=True)]))
+    begin = begin[begin + size <= bounds[-1]]
+    text = np.searchsorted(bounds, begin, side="right") - 1
+    whole = begin + size <= bounds[text + 1]
+    return begin[whole], text[whole]
+
+
+def _short(own: np.ndarray, need: int, width: int, size: int, bounds: np.ndarray):
+    """(first word, text, words) of each text of fewer than size words that holds need or more of the places own."""
+    lengths = np.diff(bounds)
+    if not ((lengths < size) & (lengths - width + 1 >= need)).any():
+        return
+    text = np.searchsorted(bounds, own, side="right") - 1
+    text = text[own + width <= bounds[text + 1]]
+    many = np.bincount(text, minlength=len(lengths))
+    for i in np.flatnonzero((many >= need) & (lengths < size)):
+        yield bounds[i : i + 1], np.array([i]), int(lengths[i])
+
+
 def _windows(shared, sizes: list[int]):
     widths = sorted({min(s, WIDTH) for s in sizes})
 
@@ -83,7 +110,7 @@ def _windows(shared, sizes: list[int]):
                 out = []
                 for size in sizes:
                     width = min(size, WIDTH)
-                    if width not in hits or len(h) < size:
+                    if width not in hits:
                         continue
                     sh, places = hits[width]
                     m = size - width + 1
@@ -91,21 +118,13 @@ def _windows(shared, sizes: list[int]):
                     own = places[in_bitmap(one_size, _sized(sh[places], size))]
                     if len(own) < need:
                         continue
-                    # windows from the first to the last of `need` hits that lie close enough
-                    low, high = own[need - 1 :] - m + 1, own[: len(own) - need + 1]
-                    close = low <= high
-                    if not close.any():
-                        continue
-                    begin = np.unique(np.concatenate([np.arange(max(x, 0), y + 1) for x, y in zip(low[close].tolist(), high[close].tolist(), strict=True)]))
-                    begin = begin[begin + size <= len(h)]
-                    text = np.searchsorted(bounds, begin, side="right") - 1
-                    begin, text = (x[begin + size <= bounds[text + 1]] for x in (begin, text))
-                    if not len(begin):
-                        continue
-                    fps = simhashes(h, begin, size)
-                    parts = blocks(fps)
-                    for k, (at, i) in enumerate(zip(begin.tolist(), text.tolist(), strict=True)):
-                        out.append({"doc_id": ids[lo + i].as_py(), "at": at - int(bounds[i]), "size": size, "fp": int(fps[k].view(np.int64)), "shingles": sh[at : at + m].view(np.int64).tolist(), "blocks": [int(p[k]) for p in parts]})
+                    for begin, text, length in ((*_full(own, need, m, size, bounds), size), *_short(own, need, width, size, bounds)):
+                        if not len(begin):
+                            continue
+                        fps = simhashes(h, begin, length)
+                        parts = blocks(fps)
+                        for k, (at, i) in enumerate(zip(begin.tolist(), text.tolist(), strict=True)):
+                            out.append({"doc_id": ids[lo + i].as_py(), "at": at - int(bounds[i]), "size": size, "fp": int(fps[k].view(np.int64)), "shingles": sh[at : at + length - width + 1].view(np.int64).tolist(), "blocks": [int(p[k]) for p in parts]})
                     if len(out) > 5000:
                         yield pa.RecordBatch.from_pylist(out, schema=_WINDOW)
                         out = []
@@ -142,7 +161,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
 
     One row for each document and item with a window, as long in words as the item, whose weighted similarity
     of 5-word shingles with it is percent or more: the best window's first word (from 0) and similarity
-    (ties: the first), and the number of windows. Words as in textkit; a shorter item is one shingle. The
+    (ties: the first), the item's words as its size, and the number of windows. A text of fewer words than the
+    item is one window. Words as in textkit; an item of fewer than 5 words is one shingle. The
     weight of a shingle is 1 + log((1 + N) / (1 + n)) / log(1 + N) for n of N items that have it, 2 for one
     that the item lacks.
     All windows of all texts are seen; windows with enough shingles that the benchmark may have are

@@ -301,6 +301,8 @@ def test_decontamination(spark):
             w[rnd.randrange(len(w))] = "changed"
         rows.append((len(rows), f"{fill(rnd.randint(0, 50))} {' '.join(w).upper()}\n{fill(rnd.randint(0, 50))}"))
     rows += [(len(rows) + i, fill(80)) for i in range(10)]
+    for k, t in items:  # texts shorter than the item: they lack words at an end
+        rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate((t.split()[1:], t.split()[:-2], t.split()[: len(t.split()) // 2]))]
     got = {(r["doc_id"], r["item_id"]): (r["at"], r["similarity"]) for r in decontam.contaminated(
         spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     grams = lambda w: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
@@ -313,12 +315,27 @@ def test_decontamination(spark):
             g = grams(u.split())
             own = {s: weight[s] for s in g}
             size = len(u.split())
-            sims = [decontam.weighted_similarity(grams(w[a : a + size]), g, own) for a in range(len(w) - size + 1)]
+            sims = [decontam.weighted_similarity(grams(w[a : a + size]), g, own) if w else 0 for a in range(max(1, len(w) - size + 1))]
             if sims and max(sims) >= 0.75:
                 want[i, k] = sims.index(max(sims)), round(max(sims), 9)
     assert got == want and len(want) > 10
 
 
+@pytest.mark.parametrize("size, changed", [(18, 2), (25, 3), (60, 8), (300, 42)])
+def test_simhash_radius(size, changed):
+    """Of passages whose end is changed to a similarity just over the threshold, the radius meets nearly all."""
+    rnd = np.random.default_rng(size)
+    far = 0
+    for _ in range(2000):
+        x = rnd.integers(0, 2**63, size).astype(np.uint64) << np.uint64(1) ^ rnd.integers(0, 2**63, size).astype(np.uint64)
+        y = x.copy()
+        y[-changed:] = rnd.integers(0, 2**63, changed).astype(np.uint64) << np.uint64(1) ^ rnd.integers(0, 2**63, changed).astype(np.uint64)
+        assert size - 4 - changed >= 0.75 * (size - 4 + changed)
+        fx, fy = (decontam.simhashes(z, np.array([0]), size)[0] for z in (x, y))
+        far += int(fx ^ fy).bit_count() > decontam.RADIUS
+    assert far <= 0.02 * 2000, far
+
+
 def test_simhash_blocks():
     rnd = np.random.default_rng(0)
     for _ in range(200):
