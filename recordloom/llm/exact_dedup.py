@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep, lower_az, with_ids
+from .store import exists, keep, lower_az, new_path, with_ids
 
 _U = np.uint64
 SHARD_KEYS = 1 << 17
@@ -87,22 +87,32 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sha.alias("sha")).withColumn("key", F.xxhash64("sha"))
 
 
-def build_snapshot(digest_rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """(exact buckets, filters) of an immutable snapshot.
+_BUCKETS = "sha string, key bigint, shard int, last bigint, n bigint"
+_FILTERS = "shard int, shards int, seed bigint, segment int, segments int, fingerprints binary"
 
-    Buckets: sha, key, shard, last (largest doc_id), n. Filters: one row per shard.
-    """
-    buckets = digest_rows.groupBy("sha", "key").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    buckets = buckets.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed, segment, count, table = fuse_build(pdf["key"].unique())
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "seed": [np.uint64(seed).astype(np.int64)], "segment": [segment], "segments": [count], "fingerprints": [table]})
+def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    seed, segment, count, table = fuse_build(pdf["key"].unique())
+    one = pdf[["shard", "shards"]].iloc[:1].reset_index(drop=True)
+    return one.assign(seed=np.uint64(seed).astype(np.int64), segment=segment, segments=count, fingerprints=[table])
 
-    filters = buckets.select("shard", "key").groupBy("shard").applyInPandas(
-        build, "shard int, seed bigint, segment int, segments int, fingerprints binary"
-    )
-    return buckets, filters
+
+def stored_snapshot(digest_rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """(exact buckets, filters, number of shards) of an immutable snapshot, read from path; written there first if absent.
+
+    Buckets: sha, key, shard, last (largest doc_id), n. Filters: one row per shard. path belongs to this
+    snapshot alone; the filters are written last, so what a failed run left is written again.
+    """
+    spark = digest_rows.sparkSession
+    buckets = spark.read.schema(_BUCKETS)
+    if not exists(spark, f"{path}/filters/_SUCCESS"):
+        shards = max(1, -(-digest_rows.count() // SHARD_KEYS))
+        once = digest_rows.groupBy("sha", "key").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+        once.select("sha", "key", F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "last", "n").write.mode("overwrite").parquet(f"{path}/buckets")
+        keys = buckets.parquet(f"{path}/buckets").select("shard", F.lit(shards).alias("shards"), "key")
+        keys.groupBy("shard").applyInPandas(_build, _FILTERS).write.mode("overwrite").parquet(f"{path}/filters")
+    filters = spark.read.schema(_FILTERS).parquet(f"{path}/filters")
+    return buckets.parquet(f"{path}/buckets"), filters, filters.agg(F.max("shards")).first()[0] or 1
 
 
 def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
@@ -118,12 +128,13 @@ def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
     return batch.select("sha", "key", "shard").groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(probe, "sha string")
 
 
-def exact_dedup(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
+def exact_dedup(snapshot: DataFrame, incoming: DataFrame, path: str | None = None) -> DataFrame:
     """Groups of equal texts over a snapshot and a new batch, both with doc_id bigint and text.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Returns one row per
     row of both: doc_id, keep_id (largest doc_id of the group), group_size, kept, text_sha256, incoming.
-    The snapshot's distinct digests are sharded, each shard gets a static binary fuse filter. The batch is
+    The snapshot's distinct digests are sharded, each shard gets a static binary fuse filter; buckets and
+    filters are stored under path (or a new one) and read again by later batches that name it. The batch is
     grouped by digest by itself; its distinct digests are screened by the filters, and only positives are
     joined with the exact buckets, where the texts are compared byte by byte; a batch group that passes
     joins the snapshot's group, any other stays a group of the batch.
@@ -134,23 +145,21 @@ def exact_dedup(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
         digests(snapshot).withColumn("incoming", F.lit(False)).unionByName(digests(incoming).withColumn("incoming", F.lit(True))),
         "digests",
     )
-    shards = max(1, -(-rows.count() // SHARD_KEYS))
-    buckets, filters = build_snapshot(rows.where("not incoming"), shards)
+    buckets, filters, shards = stored_snapshot(rows.where("not incoming"), path or new_path(rows.sparkSession, "snapshot"))
     batch = (
         rows.where("incoming").groupBy("sha", "key").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
         .withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
     )
     met = keep(
-        screen(batch, filters).join(batch.select("sha", F.col("last").alias("new_id")), "sha")
+        screen(batch, filters).join(batch.select("sha", "key", F.col("last").alias("new_id")), "sha")
         .join(buckets.select("sha", F.col("last").alias("old_id")), "sha"),
         "positives",
     )
-    wanted = met.select("sha", F.explode(F.array("new_id", "old_id")).alias("doc_id"))
-    texts = with_ids(snapshot.select("doc_id", "text").unionByName(incoming.select("doc_id", "text")), wanted)
-    same = (
-        texts.select("doc_id", lower_az(F.col("text")).alias("t")).join(wanted, "doc_id").where(F.sha2("t", 256) == F.col("sha"))
-        .groupBy("sha").agg((F.min("t") == F.max("t")).alias("same")).where("same").select("sha", F.lit(True).alias("joined"))
-    )
+    both = snapshot.select("doc_id", "text").unionByName(incoming.select("doc_id", "text")).select("doc_id", lower_az(F.col("text")).alias("t"))
+    named = with_ids(both, met.select(F.explode(F.array("new_id", "old_id")).alias("doc_id")))
+    nameless = with_ids(both.where("doc_id is null").withColumn("key", F.xxhash64(F.sha2("t", 256))), met, "key")
+    texts = named.select("t").union(nameless.select("t")).groupBy(F.sha2("t", 256).alias("sha")).agg(F.min("t").alias("x"), F.max("t").alias("y"))
+    same = texts.where("x = y").join(met.select("sha"), "sha").select("sha", F.lit(True).alias("joined"))
     sides = buckets.select("sha", "last", "n", F.lit(False).alias("incoming")).unionByName(
         batch.select("sha", "last", "n", F.lit(True).alias("incoming"))
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep, new_path
+from .store import exists, keep, new_path
 from .tokens import encoder
 
 CACHE = "content binary, tokenizer string, n_bytes bigint, n_tokens bigint"
@@ -57,8 +57,7 @@ def count_tokens(docs: DataFrame, cache_path: str, path: str, limit: int = 512)
     body = F.coalesce(F.col("text"), F.lit(""))
     full = docs.select("doc_id", body.alias("body")).withColumn("content", F.unhex(F.sha2("body", 256))).withColumn("n_bytes", F.octet_length("body").cast("bigint"))
     rows = keep(full.select("doc_id", "content", "n_bytes"), "contents")
-    where = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    there = exists(spark, cache_path)
     read = lambda: spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == tokenizer)
     todo = full.join(read().select("content"), "content", "left_anti") if there else full
     new = todo.select("content", "n_bytes", "body").dropDuplicates(["content"])

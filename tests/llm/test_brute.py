@@ -210,6 +210,19 @@ def test_exact_dedup(spark, docs, corpus):
     assert len(got) == len(corpus) and len(groups) < len(corpus)
 
 
+def test_stored_snapshot(docs, tmp_path):
+    """A second batch reads the buckets and filters that the first one stored, and builds none."""
+    path = f"file://{tmp_path}/snapshot"
+    old = docs.where("doc_id % 3 = 0")
+    first = exact_dedup.exact_dedup(old, docs.where("doc_id % 3 = 1"), path).where("incoming").collect()
+    before = sorted(f.name for f in tmp_path.rglob("*.parquet"))
+    again = exact_dedup.exact_dedup(old, docs.where("doc_id % 3 = 1"), path).where("incoming").collect()
+    assert sorted(first) == sorted(again) and len(first) > 0
+    assert before == sorted(f.name for f in tmp_path.rglob("*.parquet")) and len(before) > 1
+    buckets, filters, shards = exact_dedup.stored_snapshot(exact_dedup.digests(old), path)
+    assert shards == 1 == filters.count() and buckets.count() == exact_dedup.digests(old).select("sha").distinct().count()
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 60_000])
 def test_binary_fuse_filter(n):
     rnd = np.random.default_rng(n)

@@ -73,6 +73,9 @@ def test_exact_dedup(docs, none):
     assert len(got) == 13
     assert by[1] == (11, 3, False) and by[11] == (11, 3, True) and by[None] == (11, 3, False)
     assert by[2] == (3, 2, False) and by[5] == (5, 2, True) and by[6] == (7, 2, False)
+    nameless = docs.sparkSession.createDataFrame([(None, "Same"), (None, None)], "doc_id bigint, text string")
+    got = exact_dedup.exact_dedup(nameless, nameless).collect()
+    assert len(got) == 4 and {(r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(None, 2, False)}
     assert exact_dedup.exact_dedup(none, none).count() == 0
     assert exact_dedup.exact_dedup(none, docs).count() == 13 and exact_dedup.exact_dedup(docs, none).count() == 13
 
