@@ -33,8 +33,8 @@ BINS = 64
 """Bytes of a document's one-permutation sketch, by which the hub rounds (only they) skip unlike pairs."""
 UNLIKE = 28
 """Differing bytes from which a pair is skipped there; at a Jaccard of 0.75, 16 of 64 differ on average."""
-LONGEST = 6
-"""Largest l that a prefix is lengthened by."""
+LONGEST = 2
+"""Largest l that a prefix is lengthened by. Any value gives the same links; longer prefixes join more postings."""
 VERIFY_COST = 0.25
 """Cost of verifying a pair, for each shingle of the document, against 1 for reading a posting."""
 BACK = 160
