@@ -160,6 +160,31 @@ def test_topk_ways_agree(spark):
     assert knn.topk_dense(a, b.where("country = 'x'"), 4).count() == 0
 
 
+def test_cells_and_buckets_are_met_in_blocks(spark, monkeypatch):
+    """Pairs of a cell or bucket stay in tasks: no plan may join vectors to pairs; equal rows leave with k each, by id."""
+    rnd = random.Random(2)
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    vec = lambda: unit([rnd.gauss(0, 1) for _ in range(6)])
+    one = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    a = spark.createDataFrame([("c", i, vec() if i else one) for i in range(20)], "country string, id bigint, vec array<double>")
+    b = spark.createDataFrame([("c", 100 + i, vec() if i >= 40 else one) for i in range(80)] + [("d", 1, vec())], "country string, id bigint, vec array<double>")
+    left, right = a.collect(), b.where("country = 'c'").collect()
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+    for block, at_once in ((knn.GROUP_BLOCK, knn.CELLS_AT_ONCE), (7, 20)):
+        monkeypatch.setattr(knn, "GROUP_BLOCK", block)
+        monkeypatch.setattr(knn, "CELLS_AT_ONCE", at_once)
+        for radius, tables in ((1.2, 16), (0.3, 16)):
+            # buckets that hold half of everything: all pairs within the radius are met in one of 16 tables
+            got = knn.topk_lsh(a, b, 3, radius=radius, bucket=1e6, tables=tables)
+            want = {x["id"]: [j for _, j in sorted((-round(dot(x["vec"], y["vec"]), 12), y["id"]) for y in right if 2 - 2 * dot(x["vec"], y["vec"]) < radius**2)[:3]] for x in left}
+            assert {i: [r["id2"] for r in got.where(f"id1 = {i}").orderBy("rank").collect()] for i in (0, 1, 2, 19)} == {i: want[i] for i in (0, 1, 2, 19)}
+        cells = knn.topk_cells(a, b, 3, cells=3, probes=3)
+        assert [r["id2"] for r in cells.where("id1 = 0").orderBy("rank").collect()] == [100, 101, 102]
+        for plan in (got, cells):
+            assert "vec" not in " ".join(x for x in plan._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x or "Window" in x)
+            assert "FlatMapGroupsInPandas" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_self_and_two_hop(spark):
     v = spark.createDataFrame([("c", i, [math.cos(i / 10), math.sin(i / 10)]) for i in range(6)], "country string, id bigint, vec array<double>")
     hops = knn.self_neighbours(v, 2)
