@@ -125,7 +125,7 @@ def _windows(shared, sizes: list[int]):
                         parts = blocks(fps)
                         for k, (at, i) in enumerate(zip(begin.tolist(), text.tolist(), strict=True)):
                             out.append({"doc_id": ids[lo + i].as_py(), "at": at - int(bounds[i]), "size": size, "fp": int(fps[k].view(np.int64)), "shingles": sh[at : at + length - width + 1].view(np.int64).tolist(), "blocks": [int(p[k]) for p in parts]})
-                    if len(out) > 5000:
+                    if len(out) > 1000:
                         yield pa.RecordBatch.from_pylist(out, schema=_WINDOW)
                         out = []
                 if out:

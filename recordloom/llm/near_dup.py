@@ -204,7 +204,7 @@ def _verify(percent: int):
 
 def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pairs (a, b; distinct) whose sets have Jaccard of percent or more. Each set goes once to each hub a."""
-    sets = with_ids(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).mapInArrow(_set_bytes, "doc_id bigint, body binary")
+    sets = with_ids(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), then=_set_bytes, schema="doc_id bigint, body binary")
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).select("a", F.ceil(F.col("m") / SALT).cast("int").alias("salts"))
     members = pairs.join(sizes, "a").select(
         F.col("b").alias("doc_id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("member")

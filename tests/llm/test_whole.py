@@ -3,7 +3,7 @@
 import math
 import random
 
-from recordloom.llm import line_dedup, lm
+from recordloom.llm import line_dedup, lm, near_dup
 
 from test_brute import plain_tree
 
@@ -57,3 +57,14 @@ def test_crowded_bands_lose_no_link(spark):
     for i, k in enumerate(order):
         first.setdefault(k // 2, i)
     assert got == {i: first[k // 2] for i, k in enumerate(order)}
+
+
+def test_verify_keeps_one_worker_a_core(spark):
+    # screening and hashing of texts in two mapInArrow() in a row would run in two workers at once
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "v w x y z")], "doc_id bigint, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a bigint, b bigint")
+    links = near_dup.verify(docs, pairs)
+    assert [tuple(r) for r in links.collect()] == [(1, 2)]
+    plan = links._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = [k for k, line in enumerate(plan) if "MapInArrow" in line]
+    assert len(at) == 2 and at[1] > at[0] + 1
